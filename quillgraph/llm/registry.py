@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_langid, queries_near, queries_quality, queries_tokens, queries_topk, queries_url
+from . import queries_chat, queries_dedup, queries_langid, queries_mixing, queries_near, queries_pii, queries_quality, queries_tokens, queries_topk, queries_url
 
-MODULES = [queries_tokens, queries_langid, queries_quality, queries_dedup, queries_topk, queries_url, queries_near]
+MODULES = [queries_tokens, queries_langid, queries_quality, queries_dedup, queries_topk, queries_mixing, queries_chat, queries_url, queries_pii, queries_near]
 
 
 def queries() -> dict:
