@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 _UNIT = re.compile(" +[^ ]*|[^ ]+")
 #: Units kept per worker, texts per step, and symbols above which a unit is merged alone.
-MAX_UNITS, STEP_TEXTS, LONG_UNIT = 300_000, 128, 20_000
+MAX_UNITS, STEP_TEXTS, LONG_UNIT = 800_000, 256, 2_000
 _NONE = np.int64(1) << 40
 
 
@@ -42,8 +42,8 @@ class Model:
         self.prefix = bool(norm.add_dummy_prefix)
         self.size, self.eos = len(pieces), next(i for i, p in enumerate(pieces) if p[0] == "</s>")
         self.normal = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == 1}
-        if any(MARK in p.lstrip(MARK) for p in self.normal):
-            raise ValueError("a piece crosses a white-space mark")
+        if any(MARK in p.lstrip(MARK) for p in self.normal) or any(c not in self.normal for p in self.normal for c in p):
+            raise ValueError("a piece crosses a white-space mark or holds a character that is no piece")
         self.byte_ids = np.zeros(256, np.int64)
         self.raw: list[bytes] = []  # what each id decodes to
         self.is_byte = np.zeros(self.size, bool)
@@ -63,15 +63,16 @@ class Model:
         scores = sorted({s for _, s, kind in pieces if kind == 1}, reverse=True)
         rank_of = {s: r for r, s in enumerate(scores)}
         self.rank = np.zeros(self.size, np.int64)
-        parts: dict[str, int] = dict(self.normal)
-        self.extra: dict[str, int] = {}  # single characters that are no piece: ids past the vocabulary
+        self.char_ids = np.full(0x110000, -1, np.int64)
         keys, made = [], []
         best_above = {}
         for p, i in self.normal.items():
             self.rank[i] = rank_of[pieces[i][1]]
+            if len(p) == 1:
+                self.char_ids[ord(p)] = i
             for cut in range(1, len(p)):
                 left, right = p[:cut], p[cut:]
-                a, b = self._part(left, parts), self._part(right, parts)
+                a, b = self.normal.get(left), self.normal.get(right)
                 for q in (left, right):
                     best_above[q] = min(best_above.get(q, 1 << 30), int(rank_of[pieces[i][1]]))
                 if a is not None and b is not None:
@@ -84,17 +85,6 @@ class Model:
         self.early = np.zeros(self.size, bool)
         for p, i in self.normal.items():
             self.early[i] = best_above.get(p, 1 << 30) <= self.rank[i]
-        run = [len(p) for p in self.normal if not p.strip(MARK) and len(p) > 1]
-        self.longest_run = max(run, default=1)
-        worst = len(scores) - 1
-        self.run_rank = worst if self.longest_run > 1 and sorted(run) == list(range(2, self.longest_run + 1)) and all(self.rank[self.normal[MARK * n]] == worst for n in run) else -1
-
-    def _part(self, s: str, parts: dict[str, int]) -> int | None:
-        if s in parts:
-            return parts[s]
-        if len(s) == 1:
-            return self.extra.setdefault(s, self.size + len(self.extra))
-        return None
 
     def _reset(self) -> None:
         self.units.clear()
@@ -102,12 +92,9 @@ class Model:
         self.lens = np.zeros(0, np.int64)
         self.store = np.zeros(0, np.int32)
 
-    def pairs(self, sym: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each symbol the piece that it makes with the next one, and its rank (_NONE if none)."""
-        key = np.empty(len(sym), np.int64)
-        key[:-1] = sym[:-1] << 32 | sym[1:]
-        key[-1:] = -1
-        key[last] = -1
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece that each pair of symbols makes, and its rank (_NONE if none)."""
+        key = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = self.keys[at] == key
         piece = np.where(hit, self.made[at], -1)
@@ -115,61 +102,61 @@ class Model:
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols of all words, flat, and the number of each word's symbols."""
-        codes = [[self.normal.get(c, self.extra.get(c, -1 - ord(c))) for c in w] for w in words]
-        lens = np.array([len(c) for c in codes], np.int64)
-        out: list[np.ndarray | None] = [None] * len(words)
-        sym = np.fromiter((c for cs in codes for c in cs), np.int64, int(lens.sum()))
-        word = np.repeat(np.arange(len(words)), lens)
+        sym = self.symbols("".join(words))
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        piece, rank = np.full(len(sym), -1), np.full(len(sym), _NONE)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        piece[inner], rank[inner] = self.pairs(sym[inner], sym[inner + 1])
+        done_sym, done_word = [], []
         while len(sym):
             new = np.empty(len(sym), bool)
             new[0], new[1:] = True, word[1:] != word[:-1]
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(sym)))
-            last = first + size - 1
-            piece, rank = self.pairs(sym, last)
-            least = np.minimum.reduceat(rank, first)
-            finished = least == _NONE
-            if self.run_rank >= 0:
-                only_runs = least == self.run_rank  # all other merges of these words are done
-                finished |= only_runs
-            for k in np.flatnonzero(finished):
-                a = first[k]
-                part = sym[a : a + size[k]]
-                out[word[a]] = self._join_runs(part) if least[k] != _NONE else part
-            go = np.repeat(~finished, size)
-            low = (rank == np.repeat(least, size)) & go
-            # in a run of overlapping occurrences every other one, from the left
-            where = np.flatnonzero(low)
-            if len(where):
-                head = np.empty(len(where), bool)
-                head[0], head[1:] = True, (where[1:] != where[:-1] + 1) | (word[where[1:]] != word[where[:-1]])
-                begin = np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
-                take = (np.arange(len(where)) - begin) % 2 == 0
-                w = word[where]
-                leftmost = np.empty(len(where), bool)
-                leftmost[0], leftmost[1:] = True, w[1:] != w[:-1]
-                # early pieces: only the leftmost of the word, for all its occurrences of this rank
-                early_word = np.zeros(len(words), bool)
-                np.logical_or.at(early_word, w, self.early[piece[where]])
-                take &= leftmost | ~early_word[w]
-                where = where[take]
-                sym[where] = piece[where]
-                go[where + 1] = False
-            sym, word = sym[go], word[go]
-        return np.concatenate(out) if out else np.zeros(0, np.int64), np.array([len(o) for o in out], np.int64)
-
-    def _join_runs(self, part: np.ndarray) -> np.ndarray:
-        """What leftmost merging makes of a leading run of white-space marks."""
-        mark = self.normal[MARK]
-        other = np.flatnonzero(part != mark)
-        n = int(other[0]) if len(other) else len(part)
-        whole, rest = divmod(n, self.longest_run)
-        run = [self.normal[MARK * self.longest_run]] * whole + ([self.normal[MARK * rest]] if rest else [])
-        return np.concatenate([np.array(run, np.int64), part[n:]])
+            least = np.repeat(np.minimum.reduceat(rank, first), size)
+            go = least != _NONE
+            done_sym.append(sym[~go])
+            done_word.append(word[~go])
+            where = np.flatnonzero((rank == least) & go)
+            if not len(where):
+                break
+            # of overlapping occurrences every other one, from the left
+            w = word[where]
+            head = np.empty(len(where), bool)
+            head[0], head[1:] = True, (where[1:] != where[:-1] + 1) | (w[1:] != w[:-1])
+            begin = np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
+            take = (np.arange(len(where)) - begin) % 2 == 0
+            # of an early piece only the leftmost occurrence of a word
+            leftmost = np.empty(len(where), bool)
+            leftmost[0], leftmost[1:] = True, w[1:] != w[:-1]
+            take &= leftmost | ~self.early[piece[where]]
+            where = where[take]
+            sym[where] = piece[where]
+            gone = where + 1
+            # pairs change where a merged symbol stands on either side
+            rank[where], piece[where] = _NONE, -1
+            changed = np.zeros(len(sym), bool)
+            changed[where] = True
+            go[gone] = False
+            sym, word, rank, piece, changed = sym[go], word[go], rank[go], piece[go], changed[go]
+            at = np.flatnonzero(changed)
+            at = np.unique(np.concatenate([at, at - 1]))
+            at = at[(at >= 0) & (at < len(sym) - 1)]
+            at = at[word[at] == word[at + 1]]
+            piece[at], rank[at] = self.pairs(sym[at], sym[at + 1])
+        sym, word = np.concatenate(done_sym), np.concatenate(done_word)
+        order = np.argsort(word, kind="stable")
+        return sym[order], np.bincount(word, minlength=len(words))
+
+    def symbols(self, text: str) -> np.ndarray:
+        """Id of each character; one that is no piece gets a negative number."""
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        got = self.char_ids[codes]
+        return np.where(got >= 0, got, -1 - codes)
 
     def merge_long(self, word: str) -> np.ndarray:
         """The same merges for one very long unit, with a queue: rounds would be quadratic there."""
-        sym = [self.normal.get(c, self.extra.get(c, -1 - ord(c))) for c in word]
+        sym = self.symbols(word).tolist()
         n = len(sym)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = dict(zip(self.keys.tolist(), self.made.tolist(), strict=True))
@@ -197,39 +184,34 @@ class Model:
             push(i)
         return np.array([s for s in sym if s is not None], np.int64)
 
-    def ids(self, symbols: np.ndarray) -> np.ndarray:
-        """Pieces' ids; a character that is no piece becomes its bytes' ids."""
-        if len(symbols) and (symbols.min() < 0 or symbols.max() >= self.size):
-            back = {v: k for k, v in self.extra.items()}
-            out = []
-            for s in symbols.tolist():
-                if 0 <= s < self.size:
-                    out.append(s)
-                else:
-                    out.extend(self.byte_ids[list((chr(-1 - s) if s < 0 else back[s]).encode())].tolist())
-            return np.array(out, np.int32)
-        return symbols.astype(np.int32)
+    def with_bytes(self, symbols: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids: characters that are no piece become their bytes' ids; and the new lengths."""
+        odd = np.flatnonzero(symbols < 0)
+        if not len(odd):
+            return symbols.astype(np.int32), lens
+        coded = [self.byte_ids[list(chr(-1 - c).encode())] for c in symbols[odd].tolist()]
+        times = np.ones(len(symbols), np.int64)
+        times[odd] = [len(c) for c in coded]
+        out = np.repeat(symbols, times)
+        out[out < 0] = np.concatenate(coded)
+        word = np.repeat(np.arange(len(lens)), lens)
+        return out.astype(np.int32), np.bincount(word, weights=times, minlength=len(lens)).astype(np.int64)
 
     def learn(self, units: list[str]) -> None:
         """Encode units and add them to the worker's table; there they hold plain spaces."""
+        units = sorted(units, key=len)
         words = [u.replace(" ", MARK) for u in units]
-        rows: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        short = [k for k, w in enumerate(words) if len(w) < LONG_UNIT]
-        for k, w in enumerate(words):
-            if len(w) >= LONG_UNIT:
-                rows[k] = self.ids(self.merge_long(w))
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
-            flat, lens = self.merge([words[k] for k in part])
-            ends = np.cumsum(lens)
-            for k, s, e in zip(part, (ends - lens).tolist(), ends.tolist(), strict=True):
-                rows[k] = self.ids(flat[s:e])
-        base, at = len(self.store), len(self.units)
-        lens = np.array([len(r) for r in rows], np.int64)
-        self.units.update({u: at + k for k, u in enumerate(units)})
-        self.starts = np.concatenate([self.starts, base + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.store = np.concatenate([self.store, *rows])
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            short = [w for w in part if len(w) < LONG_UNIT]
+            flat, lens = self.merge(short) if short else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            tail = [self.merge_long(w) for w in part[len(short) :]]  # units are sorted by length
+            ids, lens = self.with_bytes(np.concatenate([flat, *tail]), np.concatenate([lens, np.array([len(t) for t in tail], np.int64)]))
+            base, known = len(self.store), len(self.units)
+            self.units.update({u: known + k for k, u in enumerate(units[at : at + 20_000])})
+            self.starts = np.concatenate([self.starts, base + np.cumsum(lens) - lens])
+            self.lens = np.concatenate([self.lens, lens])
+            self.store = np.concatenate([self.store, ids])
 
     def encode(self, texts: list[str | None], add_eos: bool = True) -> list[np.ndarray]:
         """Ids of each text, as the library's encode gives them; null counts as empty."""
