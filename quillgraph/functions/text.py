@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,8 +38,6 @@ def entity_id(label: Column) -> Column:
 
 def exact_entity_id(label: Column) -> Column:
     """The same with hash seed 0, for byte-identical ids with other tools; Arrow UDF."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def hashed(s: pd.Series) -> pd.Series:
         import xxhash
@@ -70,8 +69,6 @@ def entity_similarity(a: Column, b: Column) -> Column:
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """200 * LCS / total length of the texts with sorted words; case-sensitive; Arrow UDF."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         def lcs(s: str, t: str) -> int:

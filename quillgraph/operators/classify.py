@@ -10,13 +10,14 @@ from ..ontology import DOMAIN_LABELS
 UNCLASSIFIED = "unclassified"
 
 
-def hashed_vector(text: Column, size: int = 256) -> Column:
-    """Unit bag-of-words vector by hashing, JVM-side; stands in where no embedding model exists."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
+def hashed_counts(df: DataFrame, id_col: str, text_col: str, size: int = 256) -> DataFrame:
+    """(id, slot, x): unit bag-of-words vectors by hashing, sparse; stands in where no
+    embedding model exists.  One row per text and slot, counted map-side first."""
+    words = F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    slots = df.select(id_col, F.explode(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))).alias("slot"))
+    counts = slots.groupBy(id_col, "slot").agg(F.count("*").cast("double").alias("n"))
+    norm = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return counts.join(norm, id_col).select(id_col, "slot", (F.col("n") / F.col("norm")).alias("x"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,8 +36,14 @@ def nearest_label(rows: DataFrame, labels: DataFrame, id_col: str = "id") -> Dat
 
 def classify_domains(texts: DataFrame, id_col: str = "id", text_col: str = "text", max_chars: int = 2000) -> DataFrame:
     spark = texts.sparkSession
-    labels = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(DOMAIN_LABELS.items())], "ord int, label string, words string").withColumn("vector", hashed_vector(F.col("words")))
-    return nearest_label(texts.select(id_col, hashed_vector(F.substring(text_col, 1, max_chars)).alias("vector")), labels, id_col)
+    named = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(DOMAIN_LABELS.items())], "ord int, label string, words string")
+    labels = F.broadcast(hashed_counts(named, "ord", "words").select("ord", "slot", F.col("x").alias("y")))  # labels x slots at most
+    vectors = hashed_counts(texts.select(id_col, F.substring(text_col, 1, max_chars).alias("t")), id_col, "t")
+    dots = vectors.join(labels, "slot").groupBy(id_col, "ord").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+    best = dots.groupBy(id_col).agg(F.min(F.struct((-F.col("score")).alias("neg"), "ord")).alias("b")).select(F.col(id_col).alias("__id"), "b")
+    # a text that shares no slot with any label is as near to all: the first label
+    out = texts.select(id_col).join(best, F.col(id_col) == F.col("__id"), "left").select(id_col, F.coalesce("b.ord", F.lit(0)).alias("ord"), F.coalesce(-F.col("b.neg"), F.lit(0.0)).alias("score"))
+    return out.join(F.broadcast(named.select("ord", "label")), "ord").select(id_col, "label", "score")
 
 
 def histogram(tags: DataFrame, group: str | None = None, tag: str = "label") -> DataFrame:

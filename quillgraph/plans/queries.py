@@ -396,8 +396,8 @@ def topk_subgraph(s, d):
     ranks = graph.degrees(e).join(triples.node_view(e), "id").select("id", (F.col("degree") + 1 / (1 + F.length("label"))).alias("pagerank"))
     names = triples.node_view(e).select("id", "label")
     # ranks of equal size are settled by label here, since ids are no part of the result
-    order = ranks.join(names, "id").orderBy(F.desc("pagerank"), "label").limit(20).select("id", F.lit(1.0).alias("pagerank"))
-    return graph.top_subgraph(e, order, 20).select("subject", "predicate", "target")
+    order = ranks.join(names, "id").orderBy(F.desc("pagerank"), "label").limit(40).select("id", F.lit(1.0).alias("pagerank"))
+    return graph.top_subgraph(e, order, 40).select("subject", "predicate", "target")
 
 
 @query

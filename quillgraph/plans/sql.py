@@ -108,7 +108,7 @@ SELECT chunk_id, pos::BIGINT AS pos, CASE WHEN subject = 'Acme' THEN 'Acme ' ||
     "entity_shape_filter": r"""WITH n AS (SELECT 'd' || doc_id AS key, substring(text, 1, 60) AS name FROM documents UNION ALL SELECT 'p' || p_partkey, p_name FROM part)
 SELECT key, length(name) > 1 AND length(name) <= 80 AND len(list_filter(string_split_regex(regexp_replace(name, '^_+|_+$', '', 'g'), '[\s_]+'), lambda w: w <> '')) <= 7
   AND NOT regexp_matches(name, '\([0-9]{4}\)') AND NOT regexp_matches(name, '[.!?;][^.!?;]*[.!?;]') AS ok FROM n""",
-    "schema_conformance": f"SELECT chunk_id, m = 6 AS ok FROM ({_MOD})",
+    "schema_conformance": f"SELECT chunk_id, m IN (3, 6) AS ok FROM ({_MOD})",
     "toon_parse": """SELECT p_partkey, pos::BIGINT AS pos, s_name AS subject, 'ORGANIZATION' AS subject_type, 'supplies' AS predicate, p_name || '''s kind' AS target, 'PRODUCT' AS target_type, 0.95::DOUBLE AS confidence
 FROM part JOIN supplier ON p_partkey % 50 + 1 = s_suppkey, range(2) r(pos)""",
     "toon_fallback": """SELECT p_partkey, pos::BIGINT AS pos, s_name AS subject, 'ENTITY' AS subject_type, 'supplies' AS predicate, p_name || '''s kind' AS target, 'ENTITY' AS target_type, 0.8::DOUBLE AS confidence
@@ -172,7 +172,7 @@ SELECT round(sum(coalesce(i, 0) / m - (d / (2 * m)) ** 2), 8) AS modularity FROM
     "hub_nodes": f"WITH {STAR} SELECT label, count(*) AS connections FROM (SELECT subject AS label FROM star UNION ALL SELECT target FROM star) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
     "topk_subgraph": f"""WITH {EDGES}, e AS (SELECT * FROM edges WHERE predicate <> 'contains'),
 x AS (SELECT s AS id, subject AS label FROM e UNION ALL SELECT t, target FROM e), g AS (SELECT id, min(label) AS label, count(*) AS degree FROM x GROUP BY id),
-top AS (SELECT id FROM g ORDER BY degree + 1::DOUBLE / (1 + length(label)) DESC, label LIMIT 20)
+top AS (SELECT id FROM g ORDER BY degree + 1::DOUBLE / (1 + length(label)) DESC, label LIMIT 40)
 SELECT subject, predicate, target FROM e WHERE s IN (SELECT id FROM top) AND t IN (SELECT id FROM top)""",
     "topk_edges": f"WITH {EDGES} SELECT subject, predicate, target, round(confidence, 8) AS confidence FROM edges ORDER BY edges.confidence DESC, subject, predicate, target LIMIT 100",
     "vis_encoding": f"WITH {ENDS} SELECT label, 15 + 10 * degree AS size, CASE type {_COLOURS} ELSE '{TYPE_COLOURS['ENTITY']}' END AS colour, greatest(10, 10 + 3 * degree) AS node_size, least(6, 1 + degree) AS edge_width FROM nodes JOIN deg USING (id)",
