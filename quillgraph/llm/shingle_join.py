@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Words in a shingle, similarity as a ratio of whole numbers, cells of the word
-#: sketch (one byte each: the size of its broadcast) and bits of the id filter.
+#: sketch (one byte each: the size of its broadcast), bits of the id filter, and the
+#: power of two of the bits of the token filter (16 MB).
 WORDS, NUM, DEN = 5, 3, 4
-CELLS, FILTER_BITS = 1 << 24, 1 << 24
+CELLS, FILTER_BITS, TOKEN_BITS = 1 << 24, 1 << 24, 27
 CHUNKS, STEP = 256, 256
 MAX_WORDS_KEPT = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -63,9 +64,9 @@ def shingles(h: np.ndarray, n: int = WORDS) -> np.ndarray:
         return h
     n = min(n, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = _finish(out * np.uint64(0x100000001B3) + h[k : k + len(out)])
-    return out
+    for k in range(n):  # words' hashes are well mixed already; one polynomial over them is enough
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
+    return _finish(out)
 
 
 def token_set(text: str | None) -> np.ndarray:
@@ -90,66 +91,78 @@ def _step(batches, column: int):
             yield p, p.column(column).to_pylist()
 
 
-def describe(df: DataFrame) -> DataFrame:
-    """(id, n, key) of every document: set size and set key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, texts in _step(batches, 1):
-            sets = [token_set(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([p.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], names=["id", "n", "key"])
-
-    return df.select("id", "text").mapInArrow(run, "id long, n long, key long")
-
-
 def cells_of(h: np.ndarray) -> np.ndarray:
     return (_finish(h) >> np.uint64(40)).astype(np.int64)  # 24 bits
 
 
-def word_sketch(df: DataFrame) -> np.ndarray:
-    """Occurrences of all words of all documents by hash cell, one byte each.
+def describe(df: DataFrame) -> DataFrame:
+    """One pass over the texts, two kinds of rows.
 
-    A cell's count is never below that of a word in it.  Counts up to 127 are exact,
-    larger ones are kept on a logarithmic scale.  Tasks sum cells locally, Spark sums
-    over tasks, and chunks of the finished table (CELLS bytes in all) reach the driver.
+    (id, n, key): set size and set key of every document, with cell null; and
+    (cell, c): occurrences of words by hash cell, summed within the task as far as a
+    bound on memory allows, with id null.
     """
+    names = ["id", "n", "key", "cell", "c"]
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # most counts of a task fit here; flushed at a bound, so memory does not grow with the task
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, held = [], 0
 
         def flush():
             cell, count = np.unique(np.concatenate(pending), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(count.astype(np.int64))], names=["cell", "c"])
+            none = pa.nulls(len(cell), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(cell.astype(np.int32)), pa.array(count.astype(np.int64))], names=names)
 
-        for _, texts in _step(batches, 0):
-            for t in texts:
-                pending.append(cells_of(word_hashes(words_of(t))))
-                held += len(pending[-1])
+        for p, texts in _step(batches, 1):
+            hashes = [word_hashes(words_of(t)) for t in texts]
+            sets = [np.unique(shingles(h)) for h in hashes]
+            none = pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), none.cast(pa.int32()), none], names=names)
+            pending += [cells_of(h) for h in hashes]
+            held += sum(map(len, hashes))
             if held > 4_000_000:
                 yield flush()
                 pending, held = [], 0
         if held:
             yield flush()
 
+    return df.select("id", "text").mapInArrow(run, "id long, n long, key long, cell int, c long")
+
+
+def _packed(rows: DataFrame, cell: str, cells: int, level) -> np.ndarray:
+    """A table of ``cells`` bytes from (cell, c): level(c) at each cell.
+
+    Chunks are packed on executors; what reaches the driver is the table, of fixed size.
+    """
+    width = cells // CHUNKS
+
     def pack(group: pa.Table) -> pa.Table:
-        cell, c = group.column("cell").to_numpy(), group.column("c").to_numpy()
-        width = CELLS // CHUNKS
+        at, c = group.column(cell).to_numpy(), group.column("c").to_numpy()
         part = np.zeros(width, np.uint8)
-        level = np.where(c <= 127, c, 128 + np.minimum(127, np.floor(4 * np.log2(np.maximum(c, 128) / 128)).astype(np.int64)))
-        part[cell % width] = level
-        return pa.table({"chunk": pa.array([int(cell[0]) // width], pa.int32()), "data": pa.array([part.tobytes()], pa.binary())})
-
-    width = CELLS // CHUNKS
-    sums = df.select("text").mapInArrow(local, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c"))
-    packed = sums.withColumn("chunk", (F.col("cell") / width).cast("int")).groupBy("chunk").applyInArrow(pack, "chunk int, data binary")
-    out = np.zeros(CELLS, np.uint8)
+        part[at % width] = level(c)
+        return pa.table({"chunk": pa.array([int(at[0]) // width], pa.int32()), "data": pa.array([part.tobytes()], pa.binary())})
+
+    packed = rows.select(cell, "c", (F.col(cell) / width).cast("int").alias("chunk")).groupBy("chunk").applyInArrow(pack, "chunk int, data binary")
+    out = np.zeros(cells, np.uint8)
     for row in packed.toLocalIterator():
         out[row.chunk * width : (row.chunk + 1) * width] = np.frombuffer(bytes(row.data), np.uint8)
     return out
 
 
-def ordered_prefix(text: str | None, sketch: np.ndarray) -> tuple[np.ndarray, int]:
-    """Prefix tokens that another document could hold, and the set's size.
+def _level(c: np.ndarray) -> np.ndarray:
+    return np.where(c <= 127, c, 128 + np.minimum(127, np.floor(4 * np.log2(np.maximum(c, 128) / 128)).astype(np.int64)))
+
+
+def word_sketch(counts: DataFrame) -> np.ndarray:
+    """Occurrences of all words of all documents by hash cell, one byte each.
+
+    A cell's count is never below that of a word in it.  Counts up to 127 are exact,
+    larger ones are kept on a logarithmic scale.
+    """
+    return _packed(counts.groupBy("cell").agg(F.sum("c").alias("c")), "cell", CELLS, _level)
+
+
+def ordered_prefix(text: str | None, sketch: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Prefix tokens that another document could hold, the set's size and its key.
 
     Order: rarest word's count, then the token.  A token with a word that occurs once
     in the whole corpus is in no other document, so it takes its place in the prefix
@@ -158,7 +171,7 @@ def ordered_prefix(text: str | None, sketch: np.ndarray) -> tuple[np.ndarray, in
     h = word_hashes(words_of(text))
     s = shingles(h)
     if not len(s):
-        return s, 0
+        return s, 0, 0
     level = sketch[cells_of(h)]
     width = min(WORDS, len(h))
     rare = level[: len(s)].copy()
@@ -168,31 +181,70 @@ def ordered_prefix(text: str | None, sketch: np.ndarray) -> tuple[np.ndarray, in
     rare = rare[first]
     order = np.argsort(rare, kind="stable")[: prefix_len(len(tokens))]  # tokens are sorted already
     order = order[rare[order] > 1]
-    return tokens[order], len(tokens)
+    return tokens[order], len(tokens), set_key(tokens)
 
 
 def postings(df: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(token, key, n) of every document's prefix."""
+    """(key, n, tokens) of every document's prefix; a set seen before in the task is left out."""
     shared = df.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, seen = shared.value, set()
         for _, texts in _step(batches, 0):
-            toks, keys, sizes = [], [], []
+            rows = []
             for t in texts:
-                prefix, n = ordered_prefix(t, table)
-                if len(prefix):
-                    toks.append(prefix)
-                    keys.append(np.full(len(prefix), set_key(token_set(t)), np.int64))
-                    sizes.append(np.full(len(prefix), n, np.int64))
-            if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["token", "key", "n"])
+                prefix, n, key = ordered_prefix(t, table)
+                if len(prefix) and (key, n) not in seen:
+                    if len(seen) < 200_000:
+                        seen.add((key, n))
+                    rows.append((key, n, prefix.view(np.int64)))
+            if rows:
+                ends = np.cumsum([0, *[len(r[2]) for r in rows]]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[2] for r in rows])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), tokens], names=["key", "n", "tokens"])
+
+    return df.select("text").mapInArrow(run, "key long, n long, tokens array<long>")
+
 
-    return df.select("text").mapInArrow(run, "token long, key long, n long")
+def token_cell(token: Column) -> Column:
+    return F.shiftrightunsigned(token, 64 - TOKEN_BITS).cast("int")
 
 
-def _bitmap_positions(ids: np.ndarray) -> np.ndarray:
-    return (_finish(ids.astype(np.int64).view(np.uint64)) >> np.uint64(40)).astype(np.int64)
+def met_twice(raw: DataFrame) -> DataFrame:
+    """(token, key, n) of postings whose token's hash cell holds two postings or more.
+
+    All postings are counted by cell, and the cells met twice make a table of fixed size.
+    A token of two documents is never lost; some of one document pass, and the exact
+    test that follows removes them.  The fuller the table, the less it saves.
+    """
+    cells = 1 << TOKEN_BITS
+    counted = raw.select(F.explode("tokens").alias("token")).select(token_cell(F.col("token")).alias("cell")).groupBy("cell").agg(F.count("*").alias("c")).where("c > 1")
+    width = cells // CHUNKS
+
+    def pack(group: pa.Table) -> pa.Table:
+        at = group.column("cell").to_numpy()
+        part = np.zeros(width, np.uint8)
+        part[at % width] = 1
+        return pa.table({"chunk": pa.array([int(at[0]) // width], pa.int32()), "data": pa.array([np.packbits(part).tobytes()], pa.binary())})
+
+    packed = counted.withColumn("chunk", (F.col("cell") / width).cast("int")).groupBy("chunk").applyInArrow(pack, "chunk int, data binary")
+    bits = np.zeros(cells // 8, np.uint8)
+    for row in packed.toLocalIterator():
+        bits[row.chunk * width // 8 : (row.chunk + 1) * width // 8] = np.frombuffer(bytes(row.data), np.uint8)
+    shared = raw.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for b in batches:
+            lists = b.column(2)
+            lens = np.diff(lists.offsets.to_numpy())
+            token = lists.flatten().to_numpy()
+            at = (token.view(np.uint64) >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)
+            hit = ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+            row = np.repeat(np.arange(b.num_rows), lens)[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(token[hit]), pa.array(b.column(0).to_numpy()[row]), pa.array(b.column(1).to_numpy()[row])], names=["token", "key", "n"])
+
+    return raw.select("key", "n", "tokens").mapInArrow(run, "token long, key long, n long")
 
 
 def texts_of(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -238,7 +290,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         def tokens(i: int, text: str) -> np.ndarray:
             if i not in kept:
-                if len(kept) > 64:
+                if len(kept) > 2000:
                     kept.clear()
                 kept[i] = token_set(text)
             return kept[i]
@@ -249,7 +301,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 rows = zip(*(c.to_pylist() for c in p.columns), strict=True)
                 ok = []
                 for a, b, ta, tb in rows:
-                    x, y = tokens(a, ta), token_set(tb)
+                    x, y = tokens(a, ta), tokens(b, tb)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok.append(DEN * both >= NUM * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], names=["a", "b"]).filter(pa.array(ok))
@@ -303,10 +355,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives an empty result; other columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    facts = materialize(describe(docs), "sets")
+    described = materialize(describe(docs), "sets")
+    facts = described.where("cell IS NULL").select("id", "n", "key")
     classes = materialize(facts.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("id")), "classes")
 
-    raw = materialize(postings(docs, word_sketch(docs)), "postings")
+    sketch = word_sketch(described.where("cell IS NOT NULL").select("cell", "c"))
+    raw = materialize(met_twice(materialize(postings(docs, sketch), "postings")), "candidates")
     # tokens of at least two classes; aggregated and joined by different keys, so that a
     # frequent token's postings can be split between tasks
     shared = raw.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select(F.xxhash64("token").alias("t"))
@@ -314,13 +368,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids = classes.select(F.xxhash64("key", "n").alias("k"), "id")
     met = materialize(met.withColumn("k", F.xxhash64("key", "n")).join(ids, "k").select("token", "id", "n"), "met")
 
-    # groups: documents verified against the pivots of their tokens
-    pivot = met.groupBy("token").agg(F.min(F.struct("id", "n")).alias("p")).select(F.xxhash64("token").alias("t"), F.col("p.id").alias("b"), F.col("p.n").alias("nb"))
+    # groups: documents verified against the two pivots of their tokens, the first and the last id
+    ends = met.groupBy("token").agg(F.min(F.struct("id", "n")).alias("p"), F.max(F.struct("id", "n")).alias("q"))
+    pivot = ends.select(F.xxhash64("token").alias("t"), F.explode(F.array("p", "q")).alias("p")).select("t", F.col("p.id").alias("b"), F.col("p.n").alias("nb"))
     stars = (
         met.withColumn("t", F.xxhash64("token")).join(pivot, "t")
         .where((F.col("id") != F.col("b")) & in_reach(F.col("n"), F.col("nb")))
         .groupBy(F.col("id").alias("a"), "b", F.col("n").alias("na"), "nb").agg(F.count("*").alias("m"))
-        .where(F.col("m") >= needed(F.col("na"), F.col("nb"))).select("a", "b")
+        .where(F.col("m") >= needed(F.col("na"), F.col("nb")))
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     stars = materialize(stars, "stars")
     texts = materialize(texts_of(docs, stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id")))), "texts").dropDuplicates(["id"])
