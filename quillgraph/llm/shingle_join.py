@@ -185,25 +185,23 @@ def ordered_prefix(text: str | None, sketch: np.ndarray) -> tuple[np.ndarray, in
 
 
 def postings(df: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(key, n, tokens) of every document's prefix; a set seen before in the task is left out."""
+    """(id, key, n, tokens) of every document's prefix."""
     shared = df.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = shared.value, set()
-        for _, texts in _step(batches, 0):
+        table = shared.value
+        for p, texts in _step(batches, 1):
             rows = []
-            for t in texts:
+            for i, t in zip(p.column(0).to_pylist(), texts, strict=True):
                 prefix, n, key = ordered_prefix(t, table)
-                if len(prefix) and (key, n) not in seen:
-                    if len(seen) < 200_000:
-                        seen.add((key, n))
-                    rows.append((key, n, prefix.view(np.int64)))
+                if len(prefix):
+                    rows.append((key, n, prefix.view(np.int64), i))
             if rows:
                 ends = np.cumsum([0, *[len(r[2]) for r in rows]]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[2] for r in rows])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), tokens], names=["key", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[3] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), tokens], names=["id", "key", "n", "tokens"])
 
-    return df.select("text").mapInArrow(run, "key long, n long, tokens array<long>")
+    return df.select("id", "text").mapInArrow(run, "id long, key long, n long, tokens array<long>")
 
 
 def token_cell(token: Column) -> Column:
@@ -211,7 +209,7 @@ def token_cell(token: Column) -> Column:
 
 
 def met_twice(raw: DataFrame) -> DataFrame:
-    """(token, key, n) of postings whose token's hash cell holds two postings or more.
+    """(id, key, n, tokens): only tokens whose hash cell holds two postings or more.
 
     All postings are counted by cell, and the cells met twice make a table of fixed size.
     A token of two documents is never lost; some of one document pass, and the exact
@@ -236,15 +234,16 @@ def met_twice(raw: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for b in batches:
-            lists = b.column(2)
+            lists = b.column(3)
             lens = np.diff(lists.offsets.to_numpy())
             token = lists.flatten().to_numpy()
             at = (token.view(np.uint64) >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)
             hit = ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-            row = np.repeat(np.arange(b.num_rows), lens)[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(token[hit]), pa.array(b.column(0).to_numpy()[row]), pa.array(b.column(1).to_numpy()[row])], names=["token", "key", "n"])
+            left = np.bincount(np.repeat(np.arange(b.num_rows), lens)[hit], minlength=b.num_rows)
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]).astype(np.int32)), pa.array(token[hit]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), kept], names=["id", "key", "n", "tokens"]).filter(pa.array(left > 0))
 
-    return raw.select("key", "n", "tokens").mapInArrow(run, "token long, key long, n long")
+    return raw.select("id", "key", "n", "tokens").mapInArrow(run, "id long, key long, n long, tokens array<long>")
 
 
 def texts_of(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -360,21 +359,24 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = materialize(facts.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("id")), "classes")
 
     sketch = word_sketch(described.where("cell IS NOT NULL").select("cell", "c"))
-    raw = materialize(met_twice(materialize(postings(docs, sketch), "postings")), "candidates")
-    # tokens of at least two classes; aggregated and joined by different keys, so that a
-    # frequent token's postings can be split between tasks
-    shared = raw.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select(F.xxhash64("token").alias("t"))
-    met = raw.withColumn("t", F.xxhash64("token")).join(shared, "t", "left_semi").select("token", "key", "n").distinct()
-    ids = classes.select(F.xxhash64("key", "n").alias("k"), "id")
-    met = materialize(met.withColumn("k", F.xxhash64("key", "n")).join(ids, "k").select("token", "id", "n"), "met")
-
-    # groups: documents verified against the two pivots of their tokens, the first and the last id
-    ends = met.groupBy("token").agg(F.min(F.struct("id", "n")).alias("p"), F.max(F.struct("id", "n")).alias("q"))
-    pivot = ends.select(F.xxhash64("token").alias("t"), F.explode(F.array("p", "q")).alias("p")).select("t", F.col("p.id").alias("b"), F.col("p.n").alias("nb"))
+    raw = met_twice(materialize(postings(docs, sketch), "postings"))
+    # one document stands for its class; its whole posting list travels as one row
+    ids = classes.select(F.xxhash64("key", "n").alias("k"), F.col("id").alias("first"))
+    own = raw.withColumn("k", F.xxhash64("key", "n")).join(ids, "k").where(F.col("id") == F.col("first")).dropDuplicates(["id"])
+    posted = materialize(own.select("id", "n", F.explode("tokens").alias("token")), "posted")
+    # pivots of a token: the documents of the first id, the last one, and the first by hash.
+    # Aggregated and joined by different keys, so that a frequent token can be split
+    one = F.struct("id", "n")
+    ends = posted.groupBy("token").agg(F.min(one).alias("p"), F.max(one).alias("q"), F.min(F.struct(F.xxhash64("id"), "id", "n")).alias("r")).where("p.id < q.id")
+    ends = ends.select(F.xxhash64("token").alias("t"), "p", "q", F.struct("r.id", "r.n").alias("r"))
+    met = materialize(posted.withColumn("t", F.xxhash64("token")).join(ends, "t").select("token", "id", "n", "p", "q", "r"), "met")
+
+    # groups: documents verified against their tokens' pivots
     stars = (
-        met.withColumn("t", F.xxhash64("token")).join(pivot, "t")
-        .where((F.col("id") != F.col("b")) & in_reach(F.col("n"), F.col("nb")))
-        .groupBy(F.col("id").alias("a"), "b", F.col("n").alias("na"), "nb").agg(F.count("*").alias("m"))
+        met.select("id", "n", F.explode(F.array_distinct(F.array("p", "q", "r"))).alias("p"))
+        .select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("p.id").alias("b"), F.col("p.n").alias("nb"))
+        .where((F.col("a") != F.col("b")) & in_reach(F.col("na"), F.col("nb")))
+        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m"))
         .where(F.col("m") >= needed(F.col("na"), F.col("nb")))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
