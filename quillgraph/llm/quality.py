@@ -21,7 +21,7 @@ from .common import fraction_filter
 
 #: Hash buckets, vector size, character n-grams, passes, first learning rate, and the
 #: documented bound on the labelled documents that the classifier is fitted on.
-BUCKETS, DIM, NGRAMS, EPOCHS, RATE, MAX_LABELLED = 1 << 16, 8, (3, 4), 6, 0.5, 4000
+BUCKETS, DIM, NGRAMS, EPOCHS, RATE, MAX_LABELLED = 1 << 16, 8, (3, 4), 6, 0.5, 2000
 STEP_TEXTS = 64
 _BIAS, _REPEAT = 0, 1  # reserved buckets: every document's, and a word equal to the one before it
 _SPACE = np.zeros(256, bool)
