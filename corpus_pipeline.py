@@ -55,8 +55,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     one on average over its domain, and a document at a rate of 1.6 is written once
     or twice.
     """
-    mixed = mix(docs, language_labels(docs)).where("mix_copies >= 1")
-    return _same_columns(docs, mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))))
+    mixed = mix(docs, language_labels(docs))
+    # an outer explode, filtered after it: a filter on the number of copies would be pushed
+    # below the projections and evaluate the posteriors once more for each reference
+    repeated = mixed.withColumn("__copy", F.explode_outer(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))))
+    return _same_columns(docs, repeated.where(F.col("__copy").isNotNull()))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
