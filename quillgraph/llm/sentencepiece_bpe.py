@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 _UNIT = re.compile(" +[^ ]*|[^ ]+")
 #: Units kept per worker, texts per step, and symbols above which a unit is merged alone.
-MAX_UNITS, STEP_TEXTS, LONG_UNIT = 800_000, 256, 2_000
+MAX_UNITS, STEP_TEXTS, LONG_UNIT = 400_000, 256, 2_000
 _NONE = np.int64(1) << 40
 
 

@@ -33,7 +33,7 @@ from .common import materialize
 WORDS, NUM, DEN = 5, 3, 4
 CELLS, FILTER_BITS, TOKEN_BITS = 1 << 24, 1 << 24, 27
 CHUNKS, STEP = 256, 256
-MAX_WORDS_KEPT = 400_000
+MAX_WORDS_KEPT = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _HASHES: dict[bytes, int] = {}
 
