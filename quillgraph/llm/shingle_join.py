@@ -17,6 +17,7 @@ Pairs inside a group need no opening, since its members are already connected.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Words in a shingle, similarity as a ratio of whole numbers, cells of the word
 #: sketch (one byte each: the size of its broadcast), bits of the id filter, and the
-#: power of two of the bits of the token filter (16 MB).
+#: power of two of the bits of each of the two token filters (16 MB).
 WORDS, NUM, DEN = 5, 3, 4
 CELLS, FILTER_BITS, TOKEN_BITS = 1 << 24, 1 << 24, 27
 CHUNKS, STEP = 256, 256
@@ -161,8 +162,8 @@ def word_sketch(counts: DataFrame) -> np.ndarray:
     return _packed(counts.groupBy("cell").agg(F.sum("c").alias("c")), "cell", CELLS, _level)
 
 
-def ordered_prefix(text: str | None, sketch: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Prefix tokens that another document could hold, the set's size and its key.
+def ordered_prefix(text: str | None, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Prefix tokens that another document could hold, their places, the set's size and its key.
 
     Order: rarest word's count, then the token.  A token with a word that occurs once
     in the whole corpus is in no other document, so it takes its place in the prefix
@@ -171,7 +172,7 @@ def ordered_prefix(text: str | None, sketch: np.ndarray) -> tuple[np.ndarray, in
     h = word_hashes(words_of(text))
     s = shingles(h)
     if not len(s):
-        return s, 0, 0
+        return s, s, 0, 0
     level = sketch[cells_of(h)]
     width = min(WORDS, len(h))
     rare = level[: len(s)].copy()
@@ -180,12 +181,12 @@ def ordered_prefix(text: str | None, sketch: np.ndarray) -> tuple[np.ndarray, in
     tokens, first = np.unique(s, return_index=True)
     rare = rare[first]
     order = np.argsort(rare, kind="stable")[: prefix_len(len(tokens))]  # tokens are sorted already
-    order = order[rare[order] > 1]
-    return tokens[order], len(tokens), set_key(tokens)
+    places = np.flatnonzero(rare[order] > 1)
+    return tokens[order[places]], places, len(tokens), set_key(tokens)
 
 
 def postings(df: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(id, key, n, tokens) of every document's prefix."""
+    """(id, key, n, tokens, places) of every document's prefix."""
     shared = df.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,57 +194,104 @@ def postings(df: DataFrame, sketch: np.ndarray) -> DataFrame:
         for p, texts in _step(batches, 1):
             rows = []
             for i, t in zip(p.column(0).to_pylist(), texts, strict=True):
-                prefix, n, key = ordered_prefix(t, table)
+                prefix, places, n, key = ordered_prefix(t, table)
                 if len(prefix):
-                    rows.append((key, n, prefix.view(np.int64), i))
+                    rows.append((key, n, prefix.view(np.int64), i, places.astype(np.int32)))
             if rows:
                 ends = np.cumsum([0, *[len(r[2]) for r in rows]]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[2] for r in rows])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[3] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), tokens], names=["id", "key", "n", "tokens"])
+                tokens, places = (pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[k] for r in rows]))) for k in (2, 4))
+                yield pa.RecordBatch.from_arrays([pa.array([r[3] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), tokens, places], names=["id", "key", "n", "tokens", "places"])
 
-    return df.select("id", "text").mapInArrow(run, "id long, key long, n long, tokens array<long>")
+    return df.select("id", "text").mapInArrow(run, "id long, key long, n long, tokens array<long>, places array<int>")
 
 
-def token_cell(token: Column) -> Column:
-    return F.shiftrightunsigned(token, 64 - TOKEN_BITS).cast("int")
+def _set_bits(bits: np.ndarray, cell: np.ndarray) -> None:
+    """Set the bits of sorted distinct cells in a packed table."""
+    if len(cell):
+        byte = cell >> 3
+        first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        bits[byte[first]] |= np.bitwise_or.reduceat((128 >> (cell & 7)).astype(np.uint8), first)
 
 
-def met_twice(raw: DataFrame) -> DataFrame:
-    """(id, key, n, tokens): only tokens whose hash cell holds two postings or more.
+def _has_bit(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return ((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
 
-    All postings are counted by cell, and the cells met twice make a table of fixed size.
-    A token of two documents is never lost; some of one document pass, and the exact
-    test that follows removes them.  The fuller the table, the less it saves.
+
+def token_cell(token: np.ndarray, level: int) -> np.ndarray:
+    """Cell of a token in the table of a level: its top bits first, then its low bits."""
+    word = token.view(np.uint64)
+    return (word >> np.uint64(64 - TOKEN_BITS) if level == 0 else word & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64)
+
+
+def _passing(token: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    hit = np.ones(len(token), bool)
+    for level, bits in enumerate(tables):
+        hit &= _has_bit(bits, token_cell(token, level))
+    return hit
+
+
+def twice_table(raw: DataFrame, tables: list) -> np.ndarray:
+    """Cells of the next level that hold two postings or more, of the tokens that ``tables`` let through.
+
+    Each task keeps two bit tables of fixed size, cells met and cells met twice, and
+    sends them compressed by chunk; a chunk's tables are joined as a stream, so neither
+    side holds more than a fixed size however many tasks there are.
     """
-    cells = 1 << TOKEN_BITS
-    counted = raw.select(F.explode("tokens").alias("token")).select(token_cell(F.col("token")).alias("cell")).groupBy("cell").agg(F.count("*").alias("c")).where("c > 1")
-    width = cells // CHUNKS
+    width, level = (1 << TOKEN_BITS) // 8 // CHUNKS, len(tables)
 
-    def pack(group: pa.Table) -> pa.Table:
-        at = group.column("cell").to_numpy()
-        part = np.zeros(width, np.uint8)
-        part[at % width] = 1
-        return pa.table({"chunk": pa.array([int(at[0]) // width], pa.int32()), "data": pa.array([np.packbits(part).tobytes()], pa.binary())})
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [t.value for t in tables]
+        once, twice = np.zeros((CHUNKS, width), np.uint8), np.zeros((CHUNKS, width), np.uint8)
+        for b in batches:
+            token = b.column(0).flatten().to_numpy()
+            cell, count = np.unique(token_cell(token[_passing(token, known)], level), return_counts=True)
+            _set_bits(twice.reshape(-1), cell[(count > 1) | _has_bit(once.reshape(-1), cell)])
+            _set_bits(once.reshape(-1), cell)
+        for k in np.flatnonzero(once.any(axis=1)):
+            sent = [[zlib.compress(bits[k].tobytes(), 1)] for bits in (once, twice)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), *(pa.array(x, pa.binary()) for x in sent)], names=["chunk", "once", "twice"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice, chunk = np.zeros(width, np.uint8), np.zeros(width, np.uint8), 0
+        for b in batches:
+            for chunk, *sent in zip(*(c.to_pylist() for c in b.columns), strict=True):  # noqa: B007
+                o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in sent)
+                twice |= t | (once & o)
+                once |= o
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([twice.tobytes()], pa.binary())], names=["chunk", "data"])
 
-    packed = counted.withColumn("chunk", (F.col("cell") / width).cast("int")).groupBy("chunk").applyInArrow(pack, "chunk int, data binary")
-    bits = np.zeros(cells // 8, np.uint8)
-    for row in packed.toLocalIterator():
-        bits[row.chunk * width // 8 : (row.chunk + 1) * width // 8] = np.frombuffer(bytes(row.data), np.uint8)
-    shared = raw.sparkSession.sparkContext.broadcast(bits)
+    sent = raw.select("tokens").mapInArrow(tally, "chunk int, once binary, twice binary")
+    out = np.zeros((CHUNKS, width), np.uint8)
+    for row in sent.groupBy("chunk").applyInArrow(join, "chunk int, data binary").toLocalIterator():
+        out[row.chunk] = np.frombuffer(bytes(row.data), np.uint8)
+    return out.reshape(-1)
+
+
+def met_twice(raw: DataFrame) -> DataFrame:
+    """(id, key, n, tokens, places): only tokens whose hash cells hold two postings or more, at both levels.
+
+    All postings are counted by cell, in a table of fixed size; what passes is counted
+    again by other bits of its hash, which removes most of those that met by chance.
+    A token of two documents is never lost; some of one document pass, and the exact
+    test that follows removes them.  The fuller the tables, the less they save.
+    """
+    context, tables = raw.sparkSession.sparkContext, []
+    for _ in range(2):
+        tables.append(context.broadcast(twice_table(raw, tables)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        known = [t.value for t in tables]
         for b in batches:
             lists = b.column(3)
             lens = np.diff(lists.offsets.to_numpy())
             token = lists.flatten().to_numpy()
-            at = (token.view(np.uint64) >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)
-            hit = ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+            hit = _passing(token, known)
             left = np.bincount(np.repeat(np.arange(b.num_rows), lens)[hit], minlength=b.num_rows)
-            kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]).astype(np.int32)), pa.array(token[hit]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), kept], names=["id", "key", "n", "tokens"]).filter(pa.array(left > 0))
+            ends = pa.array(np.concatenate([[0], np.cumsum(left)]).astype(np.int32))
+            kept = [pa.ListArray.from_arrays(ends, pa.array(x[hit])) for x in (token, b.column(4).flatten().to_numpy())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *kept], names=["id", "key", "n", "tokens", "places"]).filter(pa.array(left > 0))
 
-    return raw.select("id", "key", "n", "tokens").mapInArrow(run, "id long, key long, n long, tokens array<long>")
+    return raw.select("id", "key", "n", "tokens", "places").mapInArrow(run, "id long, key long, n long, tokens array<long>, places array<int>")
 
 
 def texts_of(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -316,14 +364,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
     labels = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("c")), "labels")
+    written = labels
     while True:
         near = edges.join(labels, "v").groupBy("u").agg(F.min("c").alias("m"))
         low = labels.join(near, labels.v == near.u, "left").select("v", "c", F.least("c", "m").alias("d"))
         jump = low.select(F.col("v").alias("w"), F.col("d").alias("e"))
         new = low.join(jump, low.d == jump.w, "left").select("v", F.least("d", "e").alias("c"), (F.least("d", "e") < F.col("c")).alias("moved"))
         new = materialize(new, "labels")
-        labels = new.select("v", "c")
-        if new.where("moved").isEmpty():
+        done = new.where("moved").isEmpty()
+        discard(written)
+        labels, written = new.select("v", "c"), new
+        if done:
+            discard(edges)
             return labels
 
 
@@ -342,6 +394,16 @@ def in_reach(na: Column, nb: Column) -> Column:
     return (NUM * na <= DEN * nb) & (NUM * nb <= DEN * na)
 
 
+def early(place_a: str, na: str, place_b: str, nb: str, x: Column) -> Column:
+    """Whether a shared token stands where it can be one of the first x shared tokens.
+
+    With an intersection of o tokens, at least x of them lie within the first n - o + x
+    places of both documents, for any x from 1 to ``needed``.
+    """
+    out = F.ceil((F.col(na) + F.col(nb)) * NUM / (NUM + DEN)) - x
+    return (F.col(place_a) < F.col(na) - out) & (F.col(place_b) < F.col(nb) - out)
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id.
 
@@ -355,21 +417,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = materialize(describe(docs), "sets")
-    facts = described.where("cell IS NULL").select("id", "n", "key")
+    facts = materialize(described.where("cell IS NULL").select("id", "n", "key"), "facts")
     classes = materialize(facts.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("id")), "classes")
-
     sketch = word_sketch(described.where("cell IS NOT NULL").select("cell", "c"))
-    raw = met_twice(materialize(postings(docs, sketch), "postings"))
+    discard(described)
+
+    written = materialize(postings(docs, sketch), "postings")
+    raw = met_twice(written)
     # one document stands for its class; its whole posting list travels as one row
     ids = classes.select(F.xxhash64("key", "n").alias("k"), F.col("id").alias("first"))
     own = raw.withColumn("k", F.xxhash64("key", "n")).join(ids, "k").where(F.col("id") == F.col("first")).dropDuplicates(["id"])
-    posted = materialize(own.select("id", "n", F.explode("tokens").alias("token")), "posted")
+    posted = materialize(own.select("id", "n", F.explode(F.arrays_zip("tokens", "places")).alias("at")).select("id", "n", F.col("at.tokens").alias("token"), F.col("at.places").alias("place")), "posted")
+    discard(written)
     # pivots of a token: the documents of the first id, the last one, and the first by hash.
-    # Aggregated and joined by different keys, so that a frequent token can be split
-    one = F.struct("id", "n")
+    # Aggregated by the token and joined by its complement: the join then has a shuffle of
+    # its own, in which a frequent token can be split
+    one, flip = F.struct("id", "n"), F.bitwise_not("token").alias("flip")
     ends = posted.groupBy("token").agg(F.min(one).alias("p"), F.max(one).alias("q"), F.min(F.struct(F.xxhash64("id"), "id", "n")).alias("r")).where("p.id < q.id")
-    ends = ends.select(F.xxhash64("token").alias("t"), "p", "q", F.struct("r.id", "r.n").alias("r"))
-    met = materialize(posted.withColumn("t", F.xxhash64("token")).join(ends, "t").select("token", "id", "n", "p", "q", "r"), "met")
+    ends = ends.select(flip, "p", "q", F.struct("r.id", "r.n").alias("r"))
+    met = posted.select(flip, "place", "id", "n").join(ends, "flip").select(F.bitwise_not("flip").alias("token"), "place", "id", "n", "p", "q", "r")
+    met = materialize(met, "met")
+    discard(posted)
 
     # groups: documents verified against their tokens' pivots
     stars = (
@@ -381,38 +449,47 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     stars = materialize(stars, "stars")
-    texts = materialize(texts_of(docs, stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id")))), "texts").dropDuplicates(["id"])
-    links = materialize(verify(stars, texts), "links")
+    texts = materialize(texts_of(docs, stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id")))), "texts")
+    links = materialize(verify(stars, texts.dropDuplicates(["id"])), "links")
+    discard(stars, texts)
     groups = components(links)
 
     # the matrix: tokens by groups that hold them, with the sizes of their members
     known = groups.select(F.col("v").alias("gv"), F.col("c").alias("gc"))
-    member = met.join(known, met.id == known.gv, "left").select("token", "id", "n", F.coalesce("gc", "id").alias("g"))
-    mixed = member.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select(F.xxhash64("token").alias("t"))
-    member = materialize(member.withColumn("t", F.xxhash64("token")).join(mixed, "t", "left_semi").select("token", "id", "n", "g"), "member")
+    member = met.join(known, met.id == known.gv, "left").select("token", "place", "id", "n", F.coalesce("gc", "id").alias("g"))
+    mixed = member.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select(flip)
+    member = member.select(flip, "place", "id", "n", "g").join(mixed, "flip", "left_semi").select(F.bitwise_not("flip").alias("token"), "place", "id", "n", "g")
+    member = materialize(member, "member")
+    discard(met)
     size = member.groupBy("g", "id").agg(F.max("n").alias("n")).groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = member.select("token", "g").distinct().join(size, "g")
-    query = member.join(size.select("g", "size"), "g").select("token", "id", "n", F.col("g").alias("own"), F.col("size").alias("own_size"))
+    matrix = member.groupBy("token", "g").agg(F.min("place").alias("gplace")).join(size, "g")
+    query = member.join(size.select("g", "size"), "g").select("token", "place", "id", "n", F.col("g").alias("own"), F.col("size").alias("own_size"))
     lo, hi = F.greatest(F.col("lo"), F.ceil(F.col("n") * NUM / DEN)), F.least(F.col("hi"), F.floor(F.col("n") * DEN / NUM))
+    # a group of one document: both sizes are known, so half of the needed tokens are looked
+    # for in shorter prefixes, which leaves out the most frequent tokens of both
+    alone, half = F.col("size") == 1, F.ceil(needed(F.col("n"), F.col("lo")) / 2)
+    near = ~alone | early("place", "n", "gplace", "lo", half)
     opened = (
         query.join(matrix, "token")
-        .where((F.col("own") != F.col("g")) & (F.struct("own_size", "own") < F.struct(F.col("size"), F.col("g"))) & (lo <= hi))
-        .groupBy("id", "n", "g", "lo", "hi").agg(F.count("*").alias("m"))
-        .where(F.col("m") >= F.least(needed(F.col("n"), lo), needed(F.col("n"), hi)))
+        .where((F.col("own") != F.col("g")) & (F.struct("own_size", "own") < F.struct(F.col("size"), F.col("g"))) & (lo <= hi) & near)
+        .groupBy("id", "n", "g", "size", "lo", "hi").agg(F.count("*").alias("m"))
+        .where(F.col("m") >= F.when(alone, half).otherwise(F.least(needed(F.col("n"), lo), needed(F.col("n"), hi))))
         .select(F.col("id").alias("a"), F.col("n").alias("na"), "g")
     )
     opened = materialize(opened, "opened")
-    asked = opened.join(member.select("token", F.col("id").alias("a")), "a")
+    asked = opened.join(member.select("token", F.col("place").alias("pa"), F.col("id").alias("a")), "a")
     pairs = (
-        asked.join(member.select("token", "g", F.col("id").alias("b"), F.col("n").alias("nb")), ["token", "g"])
-        .where(in_reach(F.col("na"), F.col("nb")))
+        asked.join(member.select("token", F.col("place").alias("pb"), "g", F.col("id").alias("b"), F.col("n").alias("nb")), ["token", "g"])
+        .where(in_reach(F.col("na"), F.col("nb")) & early("pa", "na", "pb", "nb", needed(F.col("na"), F.col("nb"))))
         .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m"))
         .where(F.col("m") >= needed(F.col("na"), F.col("nb"))).select("a", "b")
     )
     pairs = materialize(pairs, "pairs")
+    discard(opened, member)
     if not pairs.isEmpty():
-        texts = materialize(texts_of(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))), "texts").dropDuplicates(["id"])
-        more = materialize(verify(pairs, texts), "links")
+        texts = materialize(texts_of(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))), "texts")
+        more = materialize(verify(pairs, texts.dropDuplicates(["id"])), "links")
+        discard(texts)
         if not more.isEmpty():
             groups = components(links.unionByName(more))
 
