@@ -10,7 +10,7 @@ same set form one class.  The join then runs on classes:
 * the matrix stores, for every token, the groups whose token union holds it; for a
   query document of another group the number of shared tokens bounds its overlap
   with every member, and only groups that the bound lets through are opened:
-  their members' pairs are counted, bounded again and verified exactly.
+  their members' whole sets are indexed in blocks and counted exactly.
 
 Pairs inside a group need no opening, since its members are already connected.
 """
@@ -34,6 +34,8 @@ from .common import discard, materialize
 WORDS, NUM, DEN = 5, 3, 4
 CELLS, FILTER_BITS, TOKEN_BITS = 1 << 24, 1 << 24, 27
 CHUNKS, STEP = 256, 256
+#: Tokens of a block of members, or of documents, when a group is opened.
+LOAD = 1 << 19
 MAX_WORDS_KEPT = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _HASHES: dict[bytes, int] = {}
@@ -356,6 +358,74 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _linked(index: tuple[np.ndarray, ...], tokens: np.ndarray) -> np.ndarray:
+    """Places of the indexed members whose sets reach the threshold with this one."""
+    known, owner, sizes = index
+    lo = np.searchsorted(known, tokens, "left")
+    met = np.searchsorted(known, tokens, "right") - lo
+    at = np.repeat(lo - np.cumsum(met) + met, met) + np.arange(met.sum())
+    both = np.bincount(owner[at], minlength=len(sizes))
+    return np.flatnonzero(DEN * both >= NUM * (len(tokens) + sizes - both))
+
+
+def open_groups(docs: DataFrame, opened: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): for each opened (document a, group g) and block of members, the first member b that links.
+
+    Whole sets are counted exactly through an index of the block's tokens, and pairs
+    that do not link are never rows.  Members and documents of a group are dealt into
+    blocks of about ``LOAD`` tokens, so that neither memory nor a task grows with a
+    group; one link to a group is enough to connect the document with all of it.
+    """
+    wanted = members.select("id").unionByName(opened.select(F.col("a").alias("id")))
+    sets = materialize(_token_sets(texts_of(docs, wanted).dropDuplicates(["id"])), "tokens")
+    asking = opened.groupBy("g").agg(F.ceil(F.sum("na") / LOAD).cast("int").alias("askers"))
+    holding = members.groupBy("g").agg(F.ceil(F.sum("n") / LOAD).cast("int").alias("holders"))
+    blocks = materialize(asking.join(holding, "g"), "blocks")
+
+    def dealt(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
+        block = {own: F.pmod(F.xxhash64("id"), F.col(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}
+        return rows.join(blocks, "g").select("g", block["holders"].alias("holder"), block["askers"].alias("asker"), F.lit(side).alias("side"), "id")
+
+    rows = dealt(members.select("g", "id"), 0, "holders", "askers").unionByName(dealt(opened.select("g", F.col("a").alias("id")), 1, "askers", "holders"))
+    run_of = ["g", "holder", "asker"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, index = None, [], None
+        for batch in batches:
+            found = []
+            for *key, side, i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != current:
+                    current, held, index = key, [], None
+                tokens = np.frombuffer(data, np.uint64)
+                if side == 0:
+                    held.append((i, tokens))
+                    continue
+                if index is None:
+                    sizes, known = np.array([len(t) for _, t in held]), np.concatenate([t for _, t in held])
+                    order = np.argsort(known, kind="stable")
+                    index = known[order], np.repeat(np.arange(len(held)), sizes)[order], sizes
+                found += [(i, held[k][0]) for k in _linked(index, tokens)[:1]]
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    loaded = rows.join(sets, "id").select(*run_of, "side", "id", "tokens")
+    found = loaded.repartition(*run_of).sortWithinPartitions(*run_of, "side", "id").mapInArrow(run, "a long, b long")
+    links = materialize(found, "links")
+    discard(sets, blocks)
+    return links
+
+
+def _token_sets(texts: DataFrame) -> DataFrame:
+    """(id, tokens): every text's set, as the bytes of its sorted 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, texts in _step(batches, 1):
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array([token_set(t).tobytes() for t in texts], pa.binary())], names=["id", "tokens"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, tokens binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, c): every linked vertex and the smallest vertex that it reaches.
 
@@ -477,21 +547,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select(F.col("id").alias("a"), F.col("n").alias("na"), "g")
     )
     opened = materialize(opened, "opened")
-    asked = opened.join(member.select("token", F.col("place").alias("pa"), F.col("id").alias("a")), "a")
-    pairs = (
-        asked.join(member.select("token", F.col("place").alias("pb"), "g", F.col("id").alias("b"), F.col("n").alias("nb")), ["token", "g"])
-        .where(in_reach(F.col("na"), F.col("nb")) & early("pa", "na", "pb", "nb", needed(F.col("na"), F.col("nb"))))
-        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m"))
-        .where(F.col("m") >= needed(F.col("na"), F.col("nb"))).select("a", "b")
-    )
-    pairs = materialize(pairs, "pairs")
-    discard(opened, member)
-    if not pairs.isEmpty():
-        texts = materialize(texts_of(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))), "texts")
-        more = materialize(verify(pairs, texts.dropDuplicates(["id"])), "links")
-        discard(texts)
+    members = materialize(member.select("g", "id", "n").distinct().join(opened.select("g").distinct(), "g", "left_semi"), "members")
+    discard(member)
+    if not opened.isEmpty():
+        more = open_groups(docs, opened, members)
         if not more.isEmpty():
             groups = components(links.unionByName(more))
+    discard(opened, members)
 
     named = classes.join(groups, classes.id == groups.v, "left").select(F.xxhash64("key", "n").alias("k"), F.coalesce("c", "id").alias("component"))
     out = facts.withColumn("k", F.xxhash64("key", "n")).join(named, "k", "left")
