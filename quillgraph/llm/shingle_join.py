@@ -400,6 +400,8 @@ def open_groups(docs: DataFrame, opened: DataFrame, members: DataFrame) -> DataF
                 if side == 0:
                     held.append((i, tokens))
                     continue
+                if not held:  # hashing dealt this block no member
+                    continue
                 if index is None:
                     sizes, known = np.array([len(t) for _, t in held]), np.concatenate([t for _, t in held])
                     order = np.argsort(known, kind="stable")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import langid, mixing, quality
+from quillgraph.llm import langid, mixing, quality, shingle_join
 from quillgraph.llm.chat import canonical, format_chats, invalid
 from quillgraph.llm.exact_dedup import exact_dedup
 from quillgraph.llm.pii import pseudonymize, surrogates
@@ -158,6 +158,28 @@ def test_components_equal_brute_force(spark, docs):
     assert len({r[2] for r in got}) < len(got)
 
 
+@pytest.mark.parametrize("load", [40, 1 << 19])
+def test_opened_groups_equal_brute_force_in_any_blocks(spark, monkeypatch, load):
+    monkeypatch.setattr(shingle_join, "LOAD", load)
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(2)]
+    texts = {}
+    for i in range(48):
+        w = list(base[i % 2])
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(60)] = f"x{rng.randrange(900)}"
+        texts[i] = " ".join(w)
+    sets = {i: set(shingle_join.token_set(t).tolist()) for i, t in texts.items()}
+    held, asking = [i for i in texts if i < 32], [i for i in texts if i >= 32]
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    members = spark.createDataFrame([(i % 2, i, len(sets[i])) for i in held], "g long, id long, n long")
+    opened = spark.createDataFrame([(a, len(sets[a]), g) for a in asking for g in (0, 1)], "a long, na long, g long")
+    got = {tuple(r) for r in shingle_join.open_groups(docs, opened, members).collect()}
+    links = {(a, b) for a in asking for b in held if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert got <= links and {(a, b % 2) for a, b in got} == {(a, b % 2) for a, b in links}
+    assert 0 < len({a for a, _ in links}) < len(asking)
+
+
 def test_components_edge_cases(spark, odd, docs):
     got = jaccard_components(odd).collect()
     assert len(got) == len(ODD) and {(r.doc_id, r.n_shingles, r.component_id) for r in got} >= {(1, 0, 1), (3, 0, 3), (5, 1, 4)}
