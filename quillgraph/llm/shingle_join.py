@@ -462,6 +462,15 @@ def needed(na: Column, nb: Column) -> Column:
     return F.greatest(F.lit(1), both - rest)
 
 
+def fewest(n: Column, lo: Column, hi: Column) -> Column:
+    """The least of ``needed`` over all sizes from lo to hi, exactly.
+
+    Up to n it grows with the other size.  Beyond, it falls by 9/28 a token but for the
+    two ceilings, so an inner size can need fewer than hi only if it is within 3 of it.
+    """
+    return F.least(needed(n, lo), *[needed(n, F.greatest(lo, hi - k)) for k in range(4)])
+
+
 def in_reach(na: Column, nb: Column) -> Column:
     return (NUM * na <= DEN * nb) & (NUM * nb <= DEN * na)
 
@@ -545,7 +554,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         query.join(matrix, "token")
         .where((F.col("own") != F.col("g")) & (F.struct("own_size", "own") < F.struct(F.col("size"), F.col("g"))) & (lo <= hi) & near)
         .groupBy("id", "n", "g", "size", "lo", "hi").agg(F.count("*").alias("m"))
-        .where(F.col("m") >= F.when(alone, half).otherwise(F.least(needed(F.col("n"), lo), needed(F.col("n"), hi))))
+        .where(F.col("m") >= F.when(alone, half).otherwise(fewest(F.col("n"), lo, hi)))
         .select(F.col("id").alias("a"), F.col("n").alias("na"), "g")
     )
     opened = materialize(opened, "opened")

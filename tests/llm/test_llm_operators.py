@@ -180,6 +180,26 @@ def test_opened_groups_equal_brute_force_in_any_blocks(spark, monkeypatch, load)
     assert 0 < len({a for a, _ in links}) < len(asking)
 
 
+def test_groups_open_where_an_inner_size_needs_fewer_tokens(spark):
+    # Q and X link (9 of 12 shingles); a partner of X's size needs 1 shared prefix token, those of
+    # its group's least and largest sizes, Z's and Y's, need 2.  Y and Z are the shared token's pivots
+    # (first id, last id, first by hash), and Q links with neither
+    core = [f"c{i}" for i in range(1, 14)]
+    rows = [(5, [*core, "q"]), (6, [*core, "x", "y"]), (1, [*core, "x", "y", "z"]), (9, [*core[1:], "x", "y"]), (20, [w for w in core[7::-1] for _ in range(3)])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want = brute_components(rows)
+    assert {i for i, _, c in want if c == 1} == {1, 5, 6, 9}
+    assert {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_fewest_tokens_of_a_range_of_sizes(spark):
+    least = lambda n, m: max(1, -(-3 * (n + m) // 7) - (-(-3 * max(n, m) // 4) - 1))
+    cases = [(n, lo, hi) for n in (*range(1, 45), 100, 1000) for lo in range(-(-3 * n // 4), 4 * n // 3 + 1, max(1, n // 40)) for hi in (*range(lo, min(4 * n // 3, lo + 12) + 1), 4 * n // 3)]
+    frame = spark.createDataFrame(cases, "n long, lo long, hi long")
+    got = frame.select("n", "lo", "hi", shingle_join.fewest(F.col("n"), F.col("lo"), F.col("hi"))).collect()
+    assert [tuple(r) for r in got] == [(n, lo, hi, min(least(n, m) for m in range(lo, hi + 1))) for n, lo, hi in cases]
+
+
 def test_components_edge_cases(spark, odd, docs):
     got = jaccard_components(odd).collect()
     assert len(got) == len(ODD) and {(r.doc_id, r.n_shingles, r.component_id) for r in got} >= {(1, 0, 1), (3, 0, 3), (5, 1, 4)}
