@@ -20,6 +20,8 @@ from .common import fraction_filter, materialize
 #: documented bound on labelled rows that it is fitted on, and the descent's steps.
 BUCKETS, SHARPNESS, MAX_LABELLED, STEPS, TOLERANCE = 512, 12.0, 4000, 25, 1e-5
 SLACK = 1.05
+#: Labelled rows that are drawn of a scarce domain whatever the bound (all, if it has fewer).
+LEAST_OF_DOMAIN = 100
 
 
 def words(text: str) -> Column:
@@ -68,13 +70,21 @@ class Domains:
 def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", limit: int = MAX_LABELLED) -> Domains:
     """Fit on about ``limit`` labelled documents, picked by a hash of the id.
 
-    Only domains x BUCKETS counts reach the driver.  Null domains are not learned.
+    Domains that this draws fewer than limit / domains (or LEAST_OF_DOMAIN) rows of are
+    drawn up to that number, so a scarce domain is learned from all its rows; that adds
+    at most as many rows again, or LEAST_OF_DOMAIN a domain.  Only domains x BUCKETS counts
+    reach the driver.  Null domains and those without a word are not learned.
     """
     known = labelled.where(F.col(domain_col).isNotNull()).select(F.col(id_col).alias("lid"), F.col(domain_col).cast("string").alias("dom"))
-    total = known.count()
-    if not total:
+    totals = {r.dom: r["count"] for r in known.groupBy("dom").count().collect()}
+    if not totals:
         return Domains([], [])
-    picked = known.where(fraction_filter(min(1.0, limit / total), "lid")).dropDuplicates(["lid"])
+    rate, least = min(1.0, limit / sum(totals.values())), max(limit / len(totals), LEAST_OF_DOMAIN)
+    wanted = fraction_filter(rate, "lid")
+    for name, n in sorted(totals.items()):
+        if rate * n < min(n, least):
+            wanted = wanted | ((F.col("dom") == name) & fraction_filter(min(1.0, least / n), "lid"))
+    picked = known.where(wanted).dropDuplicates(["lid"])
     seen = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("t")).join(F.broadcast(picked), "lid")
     counts = seen.select("dom", F.explode(F.transform(words("t"), bucket)).alias("b")).groupBy("dom", "b").count().collect()
     names = sorted({r.dom for r in counts})
@@ -132,7 +142,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     """All columns of docs and: mix_tokens long, mix_posterior array<double>, mix_rate double, mix_copies long.
 
     weights: target share of expected tokens by domain (scaled to sum to 1; a domain
-    without one gets none); by default the shares to the power ``temper``.
+    without one gets none); by default the shares to the power ``temper``.  A positive
+    weight of a domain that no labelled document taught raises an error.
     total_tokens: expected tokens of the result, by default the least that thins no
     domain, and SLACK more.  mix_copies rounds the rate up or down by a hash of id and text, so its
     expectation is the rate.
@@ -145,6 +156,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     """
     fitted = fit_domains(docs, labelled, id_col, text_col, domain_col)
     n = len(fitted.names)
+    unknown = sorted(name for name, v in (weights or {}).items() if v > 0 and name not in fitted.names)
+    if unknown:
+        raise ValueError(f"weights name domains without a labelled document to learn from: {', '.join(unknown)}")
     out = fitted.add_posteriors(docs, text_col, "mix_tokens", "mix_posterior")
     members = materialize(out.select(F.col("mix_tokens").alias("tokens"), F.col("mix_posterior").alias("p")), "mixing") if n else None
     residuals: list[list[float]] = []

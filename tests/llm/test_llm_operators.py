@@ -245,6 +245,18 @@ def test_mixing_meets_targets(spark):
     assert np.abs(x - y)[w > 0].max() < 1e-2
 
 
+def test_mixing_learns_scarce_domains(spark):
+    # 5 of 3005 labelled documents, and a bound of 20: a uniform draw holds none of them
+    docs = spark.range(3005).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "sun moon star").otherwise("rare words here").alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") < 3000, "sky").otherwise("rare").alias("domain"))
+    fitted = mixing.fit_domains(docs, labels, limit=20)
+    assert fitted.names == ["rare", "sky"]
+    got = fitted.add_posteriors(docs, "text").groupBy("text").agg(F.first("p").alias("p")).collect()
+    assert all(r.p[0] > 0.99 if r.text.startswith("rare") else r.p[1] > 0.99 for r in got)
+    with pytest.raises(ValueError, match="sea"):
+        mixing.mix(docs, labels, {"sky": 0.5, "sea": 0.5})
+
+
 def test_mixing_edge_cases(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, domain string")
     got = mixing.mix(odd, labels).collect()
