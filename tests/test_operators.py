@@ -190,3 +190,13 @@ def test_http_extractor_orders_choices(spark):
     got = extractors.by_http(chunks, "http://model/", "m", batch=2, send=send).orderBy("chunk_id").collect()
     assert [r.completion for r in got] == [f"t{i}\n\nJSON:" for i in range(5)] and got[0].token_logprobs == [-0.5]
     assert triple_json_schema()["properties"]["triples"]["maxItems"] == 20
+
+
+def test_knn_settles_ties_of_many_copies_by_id(spark):
+    # 60 copies of one vector, read in falling order of id: more ties than k + 8
+    rows = [(i, "a", [0.6, 0.8, 0.0]) for i in range(60)] + [(i, "b", [0.0, 0.6, 0.8]) for i in range(60, 80)]
+    v = spark.createDataFrame(rows[::-1], "id long, label string, embedding array<double>").repartition(3, "id")
+    got = {}
+    for r in knn.knn(v, 3).collect():
+        got.setdefault(r.id, {})[r["rank"]] = r.nbr_id
+    assert got == {i: dict(enumerate([j for j in (range(60) if i < 60 else range(60, 80)) if j != i][:3], 1)) for i in range(80)}
