@@ -34,11 +34,13 @@ def nearest_label(rows: DataFrame, labels: DataFrame, id_col: str = "id") -> Dat
     return met.groupBy(id_col).agg(best).select(id_col, F.col("b.label").alias("label"), (-F.col("b.neg")).alias("score"))
 
 
-def classify_domains(texts: DataFrame, id_col: str = "id", text_col: str = "text", max_chars: int = 2000) -> DataFrame:
+def classify_domains(texts: DataFrame, id_col: str = "id", text_col: str = "text", max_chars: int | None = 2000) -> DataFrame:
+    """(id, label, score): the domain of each text's first ``max_chars`` characters, or of all of it if None."""
     spark = texts.sparkSession
     named = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(DOMAIN_LABELS.items())], "ord int, label string, words string")
     labels = F.broadcast(hashed_counts(named, "ord", "words").select("ord", "slot", F.col("x").alias("y")))  # labels x slots at most
-    vectors = hashed_counts(texts.select(id_col, F.substring(text_col, 1, max_chars).alias("t")), id_col, "t")
+    judged = F.col(text_col) if max_chars is None else F.substring(text_col, 1, max_chars)
+    vectors = hashed_counts(texts.select(id_col, judged.alias("t")), id_col, "t")
     dots = vectors.join(labels, "slot").groupBy(id_col, "ord").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
     best = dots.groupBy(id_col).agg(F.min(F.struct((-F.col("score")).alias("neg"), "ord")).alias("b")).select(F.col(id_col).alias("__id"), "b")
     # a text that shares no slot with any label is as near to all: the first label

@@ -103,7 +103,7 @@ def domain_classify(s, d):
 
 @query
 def domain_tags(s, d):
-    return classify.classify_domains(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "label", F.round("score", 6).alias("score"))
+    return classify.classify_domains(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), max_chars=None).select("id", "label", F.round("score", 6).alias("score"))
 
 
 @query

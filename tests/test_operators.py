@@ -200,3 +200,14 @@ def test_knn_settles_ties_of_many_copies_by_id(spark):
     for r in knn.knn(v, 3).collect():
         got.setdefault(r.id, {})[r["rank"]] = r.nbr_id
     assert got == {i: dict(enumerate([j for j in (range(60) if i < 60 else range(60, 80)) if j != i][:3], 1)) for i in range(80)}
+
+
+def test_domain_tags_read_whole_texts(spark, tmp_path):
+    from quillgraph.ontology import DOMAIN_LABELS
+    from quillgraph.plans.queries import QUERIES
+
+    label, words = list(DOMAIN_LABELS.items())[-1]
+    text = "zzz " * 500 + f"{words} " * 400  # every word of a domain is past character 2000
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["domain_tags"](spark, str(tmp_path)).first()
+    assert got.label == label and got.score > 0.5
