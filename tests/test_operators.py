@@ -202,6 +202,21 @@ def test_knn_settles_ties_of_many_copies_by_id(spark):
     assert got == {i: dict(enumerate([j for j in (range(60) if i < 60 else range(60, 80)) if j != i][:3], 1)) for i in range(80)}
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["communities", "label_propagation"])
+def test_communities_have_the_orders(spark, name):
+    from quillgraph.operators import triples
+    from quillgraph.plans.queries import QUERIES
+    from quillgraph.plans.star import star_edges
+
+    edges = star_edges(spark, SF)
+    want = {r.label for r in triples.node_view(edges).select("label").collect()}
+    got = {r.label for r in QUERIES[name](spark, SF).select("label").collect()}
+    assert got == want and any(label.startswith("Order ") for label in got)
+
+
 def test_domain_tags_read_whole_texts(spark, tmp_path):
     from quillgraph.ontology import DOMAIN_LABELS
     from quillgraph.plans.queries import QUERIES
