@@ -2,14 +2,22 @@
 
 A text is cut into units at white-space marks (no piece of the vocabulary crosses
 one).  Units not seen before are encoded together: one flat numpy array of symbols,
-and in each round every unit finds its best-ranked adjacent pair, merges its
-occurrences, and the array is compacted, until no pair remains.  Encoded units are
-kept in a bounded per-worker table, so repeated words cost one lookup.
+and in each round every unit finds its best-ranked adjacent pairs, merges them, and the
+array is compacted, until no pair remains.  Encoded units are kept in a bounded
+per-worker table, so repeated words cost one lookup.
+
+Which pairs go in a round: the reference order merges, over and over, the adjacent pair
+of the best rank, the leftmost of equals.  A pair's turn is the worst rank met in the
+making of it or its two symbols, and then its own rank; pairs take their turns in rising
+order.  What could touch a pair before its turn is a piece that spans one of its symbols
+and their neighbours, so its first merge is a pair of an earlier turn no further away
+than the longest piece.  A pair that comes first among all within that distance therefore
+merges as it would in the reference order, whatever goes on elsewhere; in a unit no longer
+than the window that is the unit's least pair.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -21,9 +29,10 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 _UNIT = re.compile(" +[^ ]*|[^ ]+")
-#: Units kept per worker, texts per step, and symbols above which a unit is merged alone.
-MAX_UNITS, STEP_TEXTS, LONG_UNIT = 400_000, 256, 2_000
-_NONE = np.int64(1) << 40
+#: Units kept per worker, characters of all kept units, texts per step, and characters of a batch of new units.
+MAX_UNITS, MAX_KEPT, STEP_TEXTS, BATCH = 400_000, 8_000_000, 256, 200_000
+_NONE = np.int64(1) << 60
+_RANK_BITS = 24
 
 
 class Model:
@@ -80,6 +89,7 @@ class Model:
                     made.append(i)
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.made = np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
+        self.longest = max(map(len, self.normal))
         #: A merge is "early" if a piece around it ranks as well or better: then a later
         #: occurrence may be consumed first, so only the leftmost is merged in a round.
         self.early = np.zeros(self.size, bool)
@@ -92,59 +102,81 @@ class Model:
         self.lens = np.zeros(0, np.int64)
         self.store = np.zeros(0, np.int32)
 
-    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The piece that each pair of symbols makes, and its rank (_NONE if none)."""
+    def pairs(self, left: np.ndarray, right: np.ndarray, born: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece that each pair of symbols makes, and its turn (_NONE if none)."""
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = self.keys[at] == key
         piece = np.where(hit, self.made[at], -1)
-        return piece, np.where(hit, self.rank[np.maximum(piece, 0)], _NONE)
+        rank = self.rank[np.maximum(piece, 0)]
+        return piece, np.where(hit, np.maximum(rank, born) << _RANK_BITS | rank, _NONE)
+
+    def _around(self, turn: np.ndarray, place: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least turn among the pairs before, and after, each one, as far as a piece reaches within the word.
+
+        place and left: symbols before and after in the same word.  Windows double in width.
+        """
+        none = np.full(1, _NONE)
+        before = np.where(place > 0, np.concatenate([none, turn[:-1]]), _NONE)
+        after = np.where(left > 0, np.concatenate([turn[1:], none]), _NONE)
+        width, most = 1, min(self.longest, int(place.max(initial=0)))
+        while width < most and width < len(turn):
+            pad = np.full(width, _NONE)
+            before = np.minimum(before, np.where(place > width, np.concatenate([pad, before[:-width]]), _NONE))
+            after = np.minimum(after, np.where(left > width, np.concatenate([after[width:], pad]), _NONE))
+            width *= 2
+        return before, after
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols of all words, flat, and the number of each word's symbols."""
         sym = self.symbols("".join(words))
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        piece, rank = np.full(len(sym), -1), np.full(len(sym), _NONE)
+        piece, turn = np.full(len(sym), -1), np.full(len(sym), _NONE)
+        born = np.zeros(len(sym), np.int64)  # worst rank met in the making of a symbol
         inner = np.flatnonzero(word[:-1] == word[1:])
-        piece[inner], rank[inner] = self.pairs(sym[inner], sym[inner + 1])
+        piece[inner], turn[inner] = self.pairs(sym[inner], sym[inner + 1], born[inner])
         done_sym, done_word = [], []
         while len(sym):
             new = np.empty(len(sym), bool)
             new[0], new[1:] = True, word[1:] != word[:-1]
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(sym)))
-            least = np.repeat(np.minimum.reduceat(rank, first), size)
-            go = least != _NONE
+            go = np.repeat(np.minimum.reduceat(turn, first) != _NONE, size)
             done_sym.append(sym[~go])
             done_word.append(word[~go])
-            where = np.flatnonzero((rank == least) & go)
-            if not len(where):
+            if not go.any():
                 break
-            # of overlapping occurrences every other one, from the left
-            w = word[where]
-            head = np.empty(len(where), bool)
-            head[0], head[1:] = True, (where[1:] != where[:-1] + 1) | (w[1:] != w[:-1])
-            begin = np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
-            take = (np.arange(len(where)) - begin) % 2 == 0
-            # of an early piece only the leftmost occurrence of a word
-            leftmost = np.empty(len(where), bool)
-            leftmost[0], leftmost[1:] = True, w[1:] != w[:-1]
-            take &= leftmost | ~self.early[piece[where]]
-            where = where[take]
+            if not go.all():
+                sym, word, piece, turn, born, kept = sym[go], word[go], piece[go], turn[go], born[go], go[first]
+                size = size[kept]
+                first = np.cumsum(size) - size
+            place = np.arange(len(sym)) - np.repeat(first, size)
+            before, after = self._around(turn, place, np.repeat(size, size) - 1 - place)
+            free = (turn != _NONE) & (turn <= before) & (turn <= after)
+            # pairs of one turn in a row overlap: every other one from the left, as far as all before are free
+            same = np.zeros(len(sym), bool)
+            same[1:] = (turn[1:] == turn[:-1]) & (place[1:] > 0)
+            heads = np.flatnonzero(~same)
+            length = np.diff(np.append(heads, len(sym)))
+            nth = np.arange(len(sym)) - np.repeat(heads, length)
+            blocked = np.minimum.reduceat(np.where(free, len(sym), nth), heads)
+            take = free & (nth % 2 == 0) & (nth < np.repeat(blocked, length))
+            # of an early piece only one that none of its turn precedes
+            take &= (turn < before) | ~self.early[piece]
+            where = np.flatnonzero(take)
+            born[where] = turn[where] >> _RANK_BITS
             sym[where] = piece[where]
-            gone = where + 1
             # pairs change where a merged symbol stands on either side
-            rank[where], piece[where] = _NONE, -1
-            changed = np.zeros(len(sym), bool)
-            changed[where] = True
-            go[gone] = False
-            sym, word, rank, piece, changed = sym[go], word[go], rank[go], piece[go], changed[go]
+            turn[where], piece[where] = _NONE, -1
+            stays, changed = np.ones(len(sym), bool), take
+            stays[where + 1] = False
+            sym, word, piece, turn, born, changed = sym[stays], word[stays], piece[stays], turn[stays], born[stays], changed[stays]
             at = np.flatnonzero(changed)
             at = np.unique(np.concatenate([at, at - 1]))
             at = at[(at >= 0) & (at < len(sym) - 1)]
             at = at[word[at] == word[at + 1]]
-            piece[at], rank[at] = self.pairs(sym[at], sym[at + 1])
-        sym, word = np.concatenate(done_sym), np.concatenate(done_word)
+            piece[at], turn[at] = self.pairs(sym[at], sym[at + 1], np.maximum(born[at], born[at + 1]))
+        sym, word = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_word))
         order = np.argsort(word, kind="stable")
         return sym[order], np.bincount(word, minlength=len(words))
 
@@ -154,36 +186,6 @@ class Model:
         got = self.char_ids[codes]
         return np.where(got >= 0, got, -1 - codes)
 
-    def merge_long(self, word: str) -> np.ndarray:
-        """The same merges for one very long unit, with a queue: rounds would be quadratic there."""
-        sym = self.symbols(word).tolist()
-        n = len(sym)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = dict(zip(self.keys.tolist(), self.made.tolist(), strict=True))
-        rank = self.rank
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            if i >= 0 and nxt[i] < n and sym[i] >= 0 and sym[nxt[i]] >= 0:
-                p = pair.get(sym[i] << 32 | sym[nxt[i]])
-                if p is not None:
-                    heapq.heappush(heap, (int(rank[p]), i, sym[i], sym[nxt[i]]))
-
-        for i in range(n):
-            push(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if sym[i] != a or j >= n or sym[j] != b:
-                continue
-            sym[i], sym[j] = pair[a << 32 | b], None
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            push(prv[i])
-            push(i)
-        return np.array([s for s in sym if s is not None], np.int64)
-
     def with_bytes(self, symbols: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids: characters that are no piece become their bytes' ids; and the new lengths."""
         odd = np.flatnonzero(symbols < 0)
@@ -200,22 +202,21 @@ class Model:
     def learn(self, units: list[str]) -> None:
         """Encode units and add them to the worker's table; there they hold plain spaces."""
         units = sorted(units, key=len)
-        words = [u.replace(" ", MARK) for u in units]
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            short = [w for w in part if len(w) < LONG_UNIT]
-            flat, lens = self.merge(short) if short else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            tail = [self.merge_long(w) for w in part[len(short) :]]  # units are sorted by length
-            ids, lens = self.with_bytes(np.concatenate([flat, *tail]), np.concatenate([lens, np.array([len(t) for t in tail], np.int64)]))
+        ends = np.cumsum([len(u) for u in units])
+        cuts = [0, *np.searchsorted(ends, np.arange(BATCH, ends[-1], BATCH)).tolist(), len(units)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            ids, lens = self.with_bytes(*self.merge([u.replace(" ", MARK) for u in units[a:b]]))
             base, known = len(self.store), len(self.units)
-            self.units.update({u: known + k for k, u in enumerate(units[at : at + 20_000])})
+            self.units.update({u: known + k for k, u in enumerate(units[a:b])})
             self.starts = np.concatenate([self.starts, base + np.cumsum(lens) - lens])
             self.lens = np.concatenate([self.lens, lens])
             self.store = np.concatenate([self.store, ids])
 
     def encode(self, texts: list[str | None], add_eos: bool = True) -> list[np.ndarray]:
         """Ids of each text, as the library's encode gives them; null counts as empty."""
-        if len(self.units) > MAX_UNITS:
+        if len(self.units) > MAX_UNITS or len(self.store) > MAX_KEPT:
             self._reset()
         mark = " "
         cut = [_UNIT.findall((mark if self.prefix else "") + t.replace(MARK, mark)) if t else [] for t in texts]
@@ -288,11 +289,12 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     """One row per input row: id, ids array<int> (with an end id), decoded string.
 
     A narrow map over Arrow batches: no shuffle, no collected state; memory is bounded
-    by STEP_TEXTS texts and MAX_UNITS table entries per worker.  A lost executor costs
+    by STEP_TEXTS texts and MAX_UNITS units of MAX_KEPT ids per worker.  A lost executor costs
     its own tasks only.
 
     Edge cases: null counts as empty (ids hold the end id only, decoded is empty);
-    repeated rows stay; other columns are ignored; very long units take a queue.
+    repeated rows stay; an empty table gives an empty result; other columns are ignored;
+    very long units take the same rounds.
     """
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
