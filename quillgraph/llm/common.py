@@ -10,6 +10,10 @@ import weakref
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of an id filter per id, and the most blocks of 64 bits (a broadcast of some 8 MB).
+#: With more ids the blocks fill up and let more rows through; exact joins follow.
+FILTER_BITS_PER_ID, MAX_FILTER_BLOCKS = 16, 1 << 18
+
 #: Whether shuffle files go when their query ends; nothing reads them once its result is written.
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -29,11 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, *done) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts lineage: a lost executor costs a re-read of finished files, not a
     recomputation of everything upstream.  Files are removed when Python exits.
+    ``done`` are broadcasts that nothing needs any more once df is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgraph/{label}-{uuid.uuid4().hex}"
@@ -43,12 +48,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_SHUFFLE_CLEANUP, before)
+    for shared in done:
+        shared.destroy()
     _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     _FOLDER[out] = path
     return out
 
 
+def appended(written: list[DataFrame], schema: str) -> DataFrame:
+    """The rows of several materialized tables of one schema, in one scan."""
+    return written[0].sparkSession.read.schema(schema).parquet(*[_FOLDER[df] for df in written])
+
+
 def discard(*written: DataFrame) -> None:
     """Remove the files of materialized tables; call it once all that reads them is written itself."""
     for df in written:
@@ -82,3 +94,40 @@ def fraction_filter(fraction: float, *cols: str) -> Column:
     """A repeatable hash sample of the given fraction."""
     scale = 1_000_003
     return F.pmod(F.xxhash64(*cols), F.lit(scale)) < F.lit(max(1, round(fraction * scale)))
+
+
+def bloom_block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
+
+
+def bloom_mask(key: Column) -> Column:
+    """Four bits of a 64-bit block, from independent parts of a second hash."""
+    h = F.xxhash64(key, F.lit(1))
+    one = F.lit(1).cast("long")
+    bit = []
+    for shift in (0, 6, 12, 18):
+        at = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int")
+        bit.append(F.call_function("shiftleft", one, at))
+    return bit[0].bitwiseOR(bit[1]).bitwiseOR(bit[2]).bitwiseOR(bit[3])
+
+
+def bloom(keys: DataFrame, key: Column, blocks: int) -> DataFrame:
+    """(block, word): a blocked Bloom filter of a key, one row for each block that is not empty."""
+    return keys.select(bloom_block(key, blocks).alias("block"), bloom_mask(key).alias("m")).groupBy("block").agg(F.bit_or("m").alias("word"))
+
+
+def split_by_ids(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id is surely not among ids, and the others, which need an exact test.
+
+    A blocked Bloom filter (MAX_FILTER_BLOCKS rows at most, broadcast) tells them apart in a
+    narrow scan, so that rows which no id concerns are in no shuffle.
+    """
+    blocks, n = 1, ids.count()
+    while blocks * 64 < n * FILTER_BITS_PER_ID and blocks < MAX_FILTER_BLOCKS:
+        blocks *= 2
+    bits = bloom(ids, F.col(id_col), blocks).select(F.col("block").alias("__qg_block"), F.col("word").alias("__qg_word"))
+    key = F.col(f"`{id_col}`")
+    met = df.join(F.broadcast(bits), bloom_block(key, blocks) == F.col("__qg_block"), "left")
+    hit = F.coalesce(F.col("__qg_word").bitwiseAND(bloom_mask(key)) == bloom_mask(key), F.lit(False))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return met.where(~hit).select(*own), met.where(hit).select(*own)

@@ -10,6 +10,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bloom, bloom_block, bloom_mask
+
 #: Bits of filter per rule, and the largest number of 64-bit blocks (2 MB broadcast
 #: with keys).  A longer list fills the blocks more; the exact join keeps results right.
 BITS_PER_RULE = 16
@@ -45,21 +47,6 @@ def _key(host: Column, path: Column) -> Column:
     return F.concat(host, F.lit("\n"), path)
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
-
-
-def _mask(key: Column) -> Column:
-    """Four bits of a 64-bit block, from independent parts of a second hash."""
-    h = F.xxhash64(key, F.lit(1))
-    one = F.lit(1).cast("long")
-    bit = []
-    for shift in (0, 6, 12, 18):
-        at = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int")
-        bit.append(F.call_function("shiftleft", one, at))
-    return bit[0].bitwiseOR(bit[1]).bitwiseOR(bit[2]).bitwiseOR(bit[3])
-
-
 def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per page: id, host, path, rule, verdict.
 
@@ -90,10 +77,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     blocks, lengths = 1, sorted(stats[1])
     while blocks * 64 < stats[0] * BITS_PER_RULE and blocks < MAX_BLOCKS:
         blocks *= 2
-    bloom = (
-        listed.select(_block(F.col("rk"), blocks).alias("block"), _mask(F.col("rk")).alias("m"))
-        .groupBy("block").agg(F.bit_or("m").alias("word"))
-    )
+    bits = bloom(listed, F.col("rk"), blocks)
 
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), url_host(url_col).alias("host"), url_path(url_col).alias("path"))
     labels = F.split("host", r"\.", -1)
@@ -101,10 +85,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(sizes, lambda n: _key(h, F.expr("path").substr(F.lit(1), n)))))
     tried = base.where(F.col("host") != "").select("host", "path", F.explode(keys).alias("key"))
-    tried = tried.withColumn("block", _block(F.col("key"), blocks))
+    tried = tried.withColumn("block", bloom_block(F.col("key"), blocks))
     possible = (
-        tried.join(F.broadcast(bloom), "block")
-        .where(F.col("word").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
+        tried.join(F.broadcast(bits), "block")
+        .where(F.col("word").bitwiseAND(bloom_mask(F.col("key"))) == bloom_mask(F.col("key")))
         .select("host", "path", "key")
     )
     hits = possible.join(listed, F.col("key") == F.col("rk")).groupBy("host", "path").agg(F.max("r").alias("r"))
