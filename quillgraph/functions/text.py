@@ -19,10 +19,14 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
 
 
+def word_weight(sentence: Column) -> Column:
+    """Estimated tokens: words * 1.3."""
+    return F.size(F.filter(F.split(strip(sentence), r"(?U)\s+"), lambda w: w != "")) * F.lit(1.3)
+
+
 def token_count(sentence: Column) -> Column:
-    """Estimated tokens: words * 1.3, cut to a whole number."""
-    words = F.filter(F.split(strip(sentence), r"(?U)\s+"), lambda w: w != "")
-    return (F.size(words) * F.lit(1.3)).cast("int")
+    """Estimated tokens, cut to a whole number."""
+    return word_weight(sentence).cast("int")
 
 
 def canonical_label(c: Column) -> Column:

@@ -38,12 +38,13 @@ SUBJECT_TYPES = {
     "located_in": ["PERSON", "ORGANIZATION", "EVENT", "LOCATION"], "manages": ["PERSON", "ORGANIZATION"],
     "governs": ["ORGANIZATION", "LAW", "PROVISION"], "authors": ["PERSON", "ORGANIZATION"],
 }
+#: Words that tell each domain, for bag-of-words vectors; a model of embeddings would take sentences.
 DOMAIN_LABELS = {
-    "financial_regulatory": "banking, credit, monetary policy, financial regulation, compliance filings",
-    "legal": "statutes, contracts, litigation, legal provisions and clauses",
-    "technical_engineering": "software architecture, hardware systems, engineering specifications",
-    "academic_research": "research methodology, literature review, experimental results, citations",
-    "general_business": "corporate strategy, operations, general business correspondence",
+    "financial_regulatory": "bank loan interest rate inflation supervisor capital ratio audit disclosure",
+    "legal": "court judge plaintiff defendant contract clause statute appeal liability",
+    "technical_engineering": "software server processor circuit module interface protocol sensor design",
+    "academic_research": "study hypothesis experiment sample method citation journal theory survey",
+    "general_business": "company market customer strategy sales manager supplier meeting team",
 }
 TYPE_COLOURS = {
     "PERSON": "#FF6B6B", "ORGANIZATION": "#4ECDC4", "TECHNOLOGY": "#45B7D1", "CONCEPT": "#FFA07A",

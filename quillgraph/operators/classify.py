@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ontology import DOMAIN_LABELS
 
-UNCLASSIFIED = "unclassified"
+#: The tag of what has none, and the most labels of a broadcast.
+UNCLASSIFIED, LABELS = "unclassified", 1024
 
 
 def hashed_counts(df: DataFrame, id_col: str, text_col: str, size: int = 256) -> DataFrame:
@@ -27,11 +30,18 @@ def dot(a: Column, b: Column) -> Column:
 def nearest_label(rows: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, label, score): the label of the highest inner product, ties to the first.
 
-    labels (ord, label, vector) is a fixed handful of rows, broadcast.
+    labels (ord, label, vector) are counted and broadcast in blocks of LABELS at most, each
+    of which the rows meet in a narrow pass; the best of a row's blocks wins.
     """
-    met = rows.select(id_col, F.col("vector").alias("x")).crossJoin(F.broadcast(labels.select("ord", "label", F.col("vector").alias("y"))))
+    named = labels.select("ord", "label", F.col("vector").alias("y"))
+    blocks = max(1, -(-named.count() // LABELS))
     best = F.min(F.struct((-dot(F.col("x"), F.col("y"))).alias("neg"), "ord", "label")).alias("b")
-    return met.groupBy(id_col).agg(best).select(id_col, F.col("b.label").alias("label"), (-F.col("b.neg")).alias("score"))
+    parts = []
+    for i in range(blocks):
+        block = named.where(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == i)
+        parts.append(rows.select(id_col, F.col("vector").alias("x")).crossJoin(F.broadcast(block)).groupBy(id_col).agg(best))
+    met = parts[0] if blocks == 1 else reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(F.min("b").alias("b"))
+    return met.select(id_col, F.col("b.label").alias("label"), (-F.col("b.neg")).alias("score"))
 
 
 def classify_domains(texts: DataFrame, id_col: str = "id", text_col: str = "text", max_chars: int | None = 2000) -> DataFrame:

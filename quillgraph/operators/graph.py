@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ontology import TYPE_COLOURS, map_literal
+from ..storage import discard, materialize
 from .triples import endpoints
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir: cuts the lineage of a loop.  A
-    local folder stands in only where that setting is missing (tests)."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/quillgraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Edges up to which communities are settled in one worker for each connected component;
+#: larger graphs are moved and aggregated by joins until they are as small.
+SMALL = 300_000
 
 
 def simple_edges(edges: DataFrame, multigraph: bool = False) -> DataFrame:
@@ -44,49 +35,67 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("degree"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, weighted: bool = True, cut_every: int = 5) -> DataFrame:
-    """(id, pagerank) after a fixed number of iterations, from a uniform start.
+def node_degrees(edges: DataFrame) -> DataFrame:
+    """(id, label, type, in_degree, out_degree, degree): smallest label and type, in one grouped pass over both ends."""
+    return endpoints(edges).groupBy("id").agg(
+        F.min("label").alias("label"), F.min("type").alias("type"),
+        F.sum("side").alias("in_degree"), F.sum(1 - F.col("side")).alias("out_degree"), F.count("*").alias("degree"),
+    )
+
 
-    Each iteration is a join on src_id, a grouped sum on dst_id and one global sum for
-    the mass of nodes without out-edges.  The lineage is cut by a written table.
+def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, weighted: bool = True, tolerance: float | None = 1e-5) -> DataFrame:
+    """(id, pagerank) from a uniform start, until a step moves less than ``tolerance`` in all, or
+    for ``iterations`` steps (exactly so many if tolerance is None).
+
+    The edges are read once.  A step is one join on src_id and one grouped sum; its result is
+    written, and two numbers come back: the mass of nodes without out-edges, and what moved.
     """
     w = F.col("weight") if weighted else F.lit(1.0)
-    flat = simple_edges(edges).select("src_id", "dst_id", w.alias("w"))
-    out = flat.groupBy("src_id").agg(F.sum("w").alias("total"))
-    links = written(flat.join(out, "src_id").where("total > 0").select("src_id", "dst_id", (F.col("w") / F.col("total")).alias("share")), "links")
-    nodes = written(flat.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct().join(out.where("total > 0").select(F.col("src_id").alias("id"), F.lit(True).alias("has")), "id", "left").select("id", F.coalesce("has", F.lit(False)).alias("has")), "nodes")
-    n = nodes.count()
+    flat = materialize(simple_edges(edges).select("src_id", "dst_id", w.alias("w")), "flat")
+    out = flat.groupBy("src_id").agg(F.sum("w").alias("total")).where("total > 0")
+    links = materialize(flat.join(out, "src_id").select("src_id", "dst_id", (F.col("w") / F.col("total")).alias("share")), "links")
+    ends = flat.select(F.explode(F.array("src_id", "dst_id")).alias("id"), F.lit(False).alias("has"))
+    nodes = ends.unionByName(links.select(F.col("src_id").alias("id"), F.lit(True).alias("has"))).groupBy("id").agg(F.max("has").alias("has"))
+    nodes = materialize(nodes, "nodes")
+    n, loose = nodes.agg(F.count("*"), F.coalesce(F.avg((~F.col("has")).cast("double")), F.lit(0.0))).first()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
-    ranks = nodes.select("id", "has", F.lit(1.0 / n).alias("r"))
-    for step in range(1, iterations + 1):
-        got = links.join(ranks.select(F.col("id").alias("src_id"), "r"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.sum(F.col("r") * F.col("share")).alias("g"))
-        loose = ranks.where(~F.col("has")).agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("loose"))
-        ranks = nodes.join(got, "id", "left").crossJoin(F.broadcast(loose)).select("id", "has", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + F.col("loose") / n)).alias("r"))  # loose is one row
-        if step % cut_every == 0:
-            ranks = written(ranks, "ranks")
+    ranks, written = nodes.select("id", "has", F.lit(1.0 / n).alias("r")), [flat]
+    for _ in range(iterations):
+        # a node's own row carries its old rank beside what its neighbours give
+        given = links.join(ranks.select(F.col("id").alias("src_id"), "r"), "src_id").select(F.col("dst_id").alias("id"), F.lit(False).alias("has"), (F.col("r") * F.col("share")).alias("g"), F.lit(0.0).alias("was"))
+        own = ranks.select("id", "has", F.lit(0.0).alias("g"), F.col("r").alias("was"))
+        met = given.unionByName(own).groupBy("id").agg(F.max("has").alias("has"), F.sum("g").alias("g"), F.sum("was").alias("was"))
+        new = materialize(met.select("id", "has", ((1 - damping) / n + damping * (F.col("g") + F.lit(loose / n))).alias("r"), "was"), "ranks")
+        discard(*written)
+        loose, moved = new.agg(F.coalesce(F.sum(F.when(~F.col("has"), F.col("r"))), F.lit(0.0)), F.sum(F.abs(F.col("r") - F.col("was")))).first()
+        ranks, written = new.select("id", "has", "r"), [new]
+        if tolerance is not None and moved < tolerance:
+            break
     return ranks.select("id", F.col("r").alias("pagerank"))
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
     """(id, component): smallest id that each end of the pairs (u, v) reaches."""
-    edges = written(pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "pairs")
-    labels = written(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("c")), "labels")
+    edges = materialize(pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "pairs")
+    labels = written = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("c")), "labels")
     while True:
         near = edges.join(labels.select(F.col("id").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
         low = labels.join(near.withColumnRenamed("u", "id"), "id", "left").select("id", "c", F.least("c", "m").alias("d"))
         jump = low.select(F.col("id").alias("d"), F.col("d").alias("e"))
-        new = written(low.join(jump, "d", "left").select("id", F.least("d", "e").alias("c"), (F.least("d", "e") < F.col("c")).alias("moved")), "labels")
-        labels = new.select("id", "c")
+        new = materialize(low.join(jump, "d", "left").select("id", F.least("d", "e").alias("c"), (F.least("d", "e") < F.col("c")).alias("moved")), "labels")
+        discard(written)
+        labels, written = new.select("id", "c"), new
         if new.where("moved").isEmpty():
+            discard(edges)
             return labels.select("id", F.col("c").alias("component"))
 
 
-def _local_moves(edges: list[tuple[int, int, float]], degree: dict[int, float], two_m: float, resolution: float, rounds: int) -> dict[int, int]:
-    """Greedy modularity moves, then a split of every community into connected parts; aggregated until stable."""
-    nodes = sorted(degree)
-    member = {v: v for v in nodes}
-    graph: dict[int, dict[int, float]] = {v: {} for v in nodes}
+def _local_moves(edges: list[tuple[int, int, float]], degree: dict[int, float], two_m: float, resolution: float) -> dict[int, int]:
+    """Greedy modularity moves from a queue of nodes whose neighbourhood changed, then a split of every
+    community into connected parts; aggregated until stable."""
+    member = {v: v for v in sorted(degree)}
+    graph: dict[int, dict[int, float]] = {v: {} for v in member}
     for u, v, w in edges:
         if u != v:
             graph[u][v] = graph[u].get(v, 0.0) + w
@@ -94,21 +103,28 @@ def _local_moves(edges: list[tuple[int, int, float]], degree: dict[int, float],
     weight = dict(degree)
     while True:
         com, total = {v: v for v in graph}, dict(weight)
-        for _ in range(rounds):
-            moved = False
-            for v in sorted(graph):
-                links: dict[int, float] = {}
-                for x, w in graph[v].items():
-                    links[com[x]] = links.get(com[x], 0.0) + w
-                own = com[v]
-                total[own] -= weight[v]
-                gain = lambda c: links.get(c, 0.0) - resolution * weight[v] * total[c] / two_m  # noqa: B023, E731
-                best = max(sorted({*links, own}), key=lambda c: (round(gain(c), 12), c == own))
+        queue, waits = deque(sorted(graph)), set(graph)
+        while queue:
+            v = queue.popleft()
+            waits.discard(v)
+            links: dict[int, float] = {}
+            for x, w in graph[v].items():
+                c = com[x]
+                links[c] = links.get(c, 0.0) + w
+            own, k = com[v], resolution * weight[v] / two_m
+            total[own] -= weight[v]
+            best, most = own, round(links.get(own, 0.0) - k * total[own], 12)
+            for c in sorted(links):
+                gain = round(links[c] - k * total[c], 12)
+                if gain > most:
+                    best, most = c, gain
+            total[best] += weight[v]
+            if best != own:
                 com[v] = best
-                total[best] += weight[v]
-                moved |= best != own
-            if not moved:
-                break
+                for x in graph[v]:
+                    if com[x] != best and x not in waits:
+                        queue.append(x)
+                        waits.add(x)
         # refinement: a community that fell apart becomes its connected parts
         part: dict[int, int] = {}
         for v in sorted(graph):
@@ -120,8 +136,8 @@ def _local_moves(edges: list[tuple[int, int, float]], degree: dict[int, float],
                             part[x] = v
                             stack.append(x)
         if len(set(part.values())) == len(graph):
-            return {v: member[v] for v in nodes}
-        member = {v: part[member[v]] for v in nodes}
+            return member
+        member = {v: part[c] for v, c in member.items()}
         merged: dict[int, dict[int, float]] = {c: {} for c in set(part.values())}
         heavy: dict[int, float] = dict.fromkeys(merged, 0.0)
         for v, near in graph.items():
@@ -132,39 +148,87 @@ def _local_moves(edges: list[tuple[int, int, float]], degree: dict[int, float],
         graph, weight = merged, heavy
 
 
-def communities(edges: DataFrame, resolution: float = 1.2, rounds: int = 100) -> DataFrame:
-    """(id, community_id): modularity communities, every one connected; ids are their smallest member's.
+def _spread_moves(flat: DataFrame, nodes: DataFrame, two_m: float, resolution: float, rounds: int) -> DataFrame:
+    """(id, part): the same moves by joins, all nodes at once, split into connected parts.
 
-    Move, refine and aggregate as in Leiden, in node order, one connected component per
-    Arrow group with the whole graph's weight.  A component must fit one worker; for
-    larger ones use label_propagation, which is joins only.
+    In each round every node weighs its neighbours' communities, and a hash of node and round
+    lets half of those that gain by it move, so that two neighbours do not swap for ever.
     """
-    flat = written(undirected(edges).where("u <> v"), "undirected")
-    comps = connected_components(flat.select("u", "v"))
-    two_m = 2 * float(flat.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        degree: dict[int, float] = {}
-        rows = list(zip(pdf.u.tolist(), pdf.v.tolist(), pdf.weight.tolist(), strict=True))
-        for u, v, w in rows:
-            degree[u], degree[v] = degree.get(u, 0.0) + w, degree.get(v, 0.0) + w
-        got = _local_moves(rows, degree, two_m or 1.0, resolution, rounds)
-        low: dict[int, int] = {}
-        for v, c in got.items():
-            low[c] = min(low.get(c, v), v)
-        return pd.DataFrame({"id": list(got), "community_id": [low[c] for c in got.values()]})
+    both = materialize(flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")), "both")
+    labels = written = materialize(nodes.select("id", "k", F.col("id").alias("c")), "labels")
+    for step in range(rounds):
+        total = labels.groupBy("c").agg(F.sum("k").alias("total"))
+        near = both.join(labels.select(F.col("id").alias("v"), "c"), "v").groupBy(F.col("u").alias("id"), "c").agg(F.sum("weight").alias("w"))
+        own = labels.select("id", "c", F.lit(0.0).alias("w"))
+        choice = near.unionByName(own).groupBy("id", "c").agg(F.sum("w").alias("w")).join(total, "c").join(labels.select("id", "k", F.col("c").alias("own")), "id")
+        without = F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - resolution * F.col("k") * without / two_m, 12)
+        best = choice.groupBy("id", "k", "own").agg(F.min(F.struct((-gain).alias("g"), (F.col("c") != F.col("own")).alias("other"), "c")).alias("b"))
+        go = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0
+        new = best.select("id", "k", F.when(go, F.col("b.c")).otherwise(F.col("own")).alias("c"), F.col("b.other").alias("wants"))
+        new = materialize(new, "labels")
+        discard(written)
+        labels, written = new.select("id", "k", "c"), new
+        if new.where("wants").isEmpty():
+            break
+    inside = flat.join(labels.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(labels.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv")
+    parts = connected_components(inside.select("u", "v"))
+    out = materialize(nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("part")), "parts")
+    discard(both, written)
+    return out
+
+
+def communities(edges: DataFrame, resolution: float = 1.2, rounds: int = 8, small: int = SMALL) -> DataFrame:
+    """(id, community_id): modularity communities, every one connected; ids are their smallest member's.
 
-    return flat.join(comps.select(F.col("id").alias("u"), "component"), "u").groupBy("component").applyInPandas(run, "id long, community_id long")
+    Move, refine and aggregate as in Leiden.  While a graph has more than ``small`` edges this
+    goes by joins, level after level; the aggregated rest is settled in node order, one
+    connected component per Arrow group, with the whole graph's weight.  Should levels stop
+    shrinking a graph before it is small, its parts are the communities.
+    """
+    flat = materialize(undirected(edges).where("u <> v"), "undirected")
+    ends = flat.select(F.explode(F.array("u", "v")).alias("id"), "weight")
+    nodes = materialize(ends.groupBy("id").agg(F.sum("weight").alias("k")), "nodes")
+    two_m = float(nodes.agg(F.coalesce(F.sum("k"), F.lit(0.0))).first()[0]) or 1.0
+    member = nodes.select("id", F.col("id").alias("part"))
+    count, before = flat.count(), nodes.count()
+    while count > small:
+        parts = _spread_moves(flat, nodes, two_m, resolution, rounds)
+        member = materialize(member.join(parts.select(F.col("id").alias("part"), F.col("part").alias("to")), "part").select("id", F.col("to").alias("part")), "member")
+        sides = flat.join(parts.select(F.col("id").alias("u"), F.col("part").alias("pu")), "u").join(parts.select(F.col("id").alias("v"), F.col("part").alias("pv")), "v").where("pu <> pv")
+        flat = materialize(sides.groupBy(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).agg(F.sum("weight").alias("weight")), "undirected")
+        nodes = materialize(nodes.join(parts, "id").groupBy(F.col("part").alias("id")).agg(F.sum("k").alias("k")), "nodes")
+        count, left = flat.count(), nodes.count()
+        if left == before:
+            break
+        before = left
+    if count > small:
+        settled = nodes.select("id", F.col("id").alias("community"))
+    else:
+        comps = connected_components(flat.select("u", "v"))
+        rows = flat.join(comps.select(F.col("id").alias("u"), "component"), "u")
+        rows = rows.join(nodes.select(F.col("id").alias("u"), F.col("k").alias("ku")), "u").join(nodes.select(F.col("id").alias("v"), F.col("k").alias("kv")), "v")
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            degree = dict(zip(pdf.u.tolist(), pdf.ku.tolist(), strict=True)) | dict(zip(pdf.v.tolist(), pdf.kv.tolist(), strict=True))
+            got = _local_moves(sorted(zip(pdf.u.tolist(), pdf.v.tolist(), pdf.weight.tolist(), strict=True)), degree, two_m, resolution)
+            return pd.DataFrame({"id": list(got), "community": list(got.values())})
+
+        found = rows.groupBy("component").applyInPandas(run, "id long, community long")
+        settled = nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    named = materialize(member.join(settled.select(F.col("id").alias("part"), "community"), "part").select("id", "community"), "settled")
+    low = named.groupBy("community").agg(F.min("id").alias("community_id"))
+    return named.join(low, "community").select("id", "community_id")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, community_id): synchronous, deterministic; the heaviest neighbouring label, ties to the smaller."""
-    flat = undirected(edges).where("u <> v")
-    both = written(flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")), "both")
+    flat = materialize(undirected(edges).where("u <> v"), "undirected")
+    both = materialize(flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")), "both")
     labels = both.select(F.col("u").alias("id"), F.col("u").alias("c")).distinct()
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("id").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("weight").alias("w"))
-        labels = written(votes.groupBy("u").agg(F.min_by("c", F.struct(-F.col("w"), "c")).alias("c")).withColumnRenamed("u", "id"), "labels")
+        labels = materialize(votes.groupBy("u").agg(F.min_by("c", F.struct(-F.col("w"), "c")).alias("c")).withColumnRenamed("u", "id"), "labels")
     return labels.select("id", F.col("c").alias("community_id"))
 
 
@@ -182,7 +246,7 @@ def modularity(edges: DataFrame, groups: DataFrame, resolution: float = 1.0) ->
 
 def export_nodes(edges: DataFrame, ranks: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
     """id, label, type, pagerank, in_degree, out_degree, community_id, degree; missing metrics are 0, 0, 0, -1."""
-    nodes = endpoints(edges).groupBy("id").agg(F.min("label").alias("label"), F.min("type").alias("type")).join(degrees(edges), "id", "left")
+    nodes = node_degrees(edges)
     nodes = nodes.join(ranks, "id", "left") if ranks is not None else nodes.withColumn("pagerank", F.lit(0.0))
     nodes = nodes.join(groups, "id", "left") if groups is not None else nodes.withColumn("community_id", F.lit(-1).cast("long"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

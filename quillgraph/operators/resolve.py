@@ -7,26 +7,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_id, entity_similarity, strip, token_sort_ratio, word_set
+from ..storage import materialize
 from .graph import connected_components
 from .triples import endpoints
 
 
-def alias_pairs(labels: DataFrame, threshold: float = 0.82, ratio: float = 70.0, containment: str = "token", trigram_df: int | None = None) -> DataFrame:
+def _rare_words(base: DataFrame) -> DataFrame:
+    """(label, low, w, place, n): each label's words, from the rarest on, with their place from 0 and their number."""
+    words = base.select("label", "low", F.explode(word_set(F.col("low"))).alias("w"))
+    seen = words.groupBy("w").agg(F.count("*").alias("df"))
+    ordered = words.join(seen, "w").groupBy("label", "low").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    return ordered.select("label", "low", F.size("ws").alias("n"), F.posexplode("ws.w").alias("place", "w"))
+
+
+def alias_pairs(labels: DataFrame, threshold: float = 0.82, ratio: float = 70.0, containment: str = "token") -> DataFrame:
     """(a, b, contained, similarity) of label pairs that would merge, the longer label first.
 
-    containment="token": candidates share a word (equi-join on words; labels that share
-    none have similarity of at most 0.6 and cannot reach a threshold above it).
+    Labels of a similarity t share at least (t - 0.6) / 0.4 of their words, so one of the
+    rarest words of each, of as many as that leaves: only these are joined, and frequent
+    words meet nothing unless a label has no other.  (Labels that share no word have a
+    similarity of 0.6 at most; a threshold up to that finds them only by containment.)
+    containment="token": a label whose words are all in another meets it by its rarest word.
     containment="substring" also finds labels inside others without a common word, by a
     join on the shorter label's rarest character trigram, so no pair is compared that
     shares none; labels of one or two characters use their whole text as the key.
     """
     base = labels.select(strip(F.col("label")).alias("label")).where(F.col("label") != "").distinct()
-    base = base.select("label", F.lower("label").alias("low"))
-    words = base.select("label", "low", F.explode(word_set(F.col("low"))).alias("w"))
-    other = words.select(F.col("label").alias("b"), F.col("low").alias("low_b"), "w")
+    base = materialize(base.select("label", F.lower("label").alias("low")), "labels")
+    words = materialize(_rare_words(base), "words")
     longer = (F.length("a") > F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
-    cand = words.withColumnRenamed("label", "a").withColumnRenamed("low", "low_a").join(other, "w").where(longer).select("a", "b", "low_a", "low_b").distinct()
-    if containment == "substring":
+    as_a, as_b = (words.select(F.col("label").alias(x), F.col("low").alias(f"low_{x}"), "w", F.col("place").alias(f"p{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    least = F.lit(min(1.0, max(0.0, (threshold - 0.6) / 0.4) - 1e-9))
+    # sets of a share t or more of words have one in common among the first n - ceil(t n) + 1 of both
+    first = lambda p, n: F.col(p) < F.col(n) - F.greatest(F.ceil(least * F.col(n)), F.lit(1)) + 1
+    cand = as_a.where(first("pa", "na")).join(as_b.where(first("pb", "nb")), "w").where(longer).select("a", "b", "low_a", "low_b")
+    if containment == "token":
+        held = as_a.join(as_b.where("pb = 0"), "w").where(longer & (F.col("nb") <= F.col("na")))
+    else:
         grams = lambda c, n: F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.col(c).substr(i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
         tri = base.select("label", "low", F.explode(F.concat(*[grams("low", n) for n in (1, 2, 3)])).alias("g"))
         df = tri.where(F.length("g") == 3).groupBy("g").agg(F.count("*").alias("df"))
@@ -34,7 +51,7 @@ def alias_pairs(labels: DataFrame, threshold: float = 0.82, ratio: float = 70.0,
         short = base.where(F.length("low") < 3).select("label", "low", F.col("low").alias("g"))
         inner = rare.unionByName(short).select(F.col("label").alias("b"), F.col("low").alias("low_b"), "g")
         held = tri.select(F.col("label").alias("a"), F.col("low").alias("low_a"), "g").join(inner, "g").where(longer & F.col("low_a").contains(F.col("low_b")))
-        cand = cand.unionByName(held.select("a", "b", "low_a", "low_b")).distinct()
+    cand = cand.unionByName(held.select("a", "b", "low_a", "low_b")).distinct()
     contained = F.array_size(F.array_intersect(word_set(F.col("low_a")), word_set(F.col("low_b")))) == F.array_size(word_set(F.col("low_b"))) if containment == "token" else F.col("low_a").contains(F.col("low_b"))
     scored = cand.select("a", "b", contained.alias("contained"), entity_similarity(F.col("a"), F.col("b")).alias("similarity"))
     likely = scored.where(F.col("contained") | (F.col("similarity") >= threshold))
@@ -88,9 +105,18 @@ def majority(ends: DataFrame, value: str, key: str = "id") -> DataFrame:
 
 
 def resolve_votes(edges: DataFrame) -> DataFrame:
-    """Each end's label and type replaced by the majority over all its mentions."""
-    ends = endpoints(edges)
-    lut = majority(ends, "label").join(majority(ends, "type"), "id")
+    """Each end's label and type replaced by the majority over all its mentions.
+
+    The edges are read twice, for the votes and to be rewritten; the votes are counted once
+    for both questions.
+    """
+    counted = materialize(endpoints(edges).groupBy("id", "label", "type").agg(F.count("*").alias("n")), "votes")
+
+    def most(value: str) -> DataFrame:
+        per = counted.groupBy("id", value).agg(F.sum("n").alias("n"))
+        return per.groupBy("id").agg(F.min_by(value, F.struct(-F.col("n"), value)).alias(value))
+
+    lut = materialize(most("label").join(most("type"), "id"), "voted")
     out = edges
     for id_col, label, kind in (("src_id", "subject", "subject_type"), ("dst_id", "target", "target_type")):
         l = lut.select(F.col("id").alias(id_col), F.col("label").alias("__l"), F.col("type").alias("__t"))  # noqa: E741
