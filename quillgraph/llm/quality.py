@@ -2,7 +2,7 @@
 
 Every word and its character n-grams hash to learned vectors; a document is their
 average, a softmax layer scores it.  Trained by plain stochastic gradient descent in
-numpy.  Because the output is linear in the average, each bucket's contribution to
+numpy, in one task over a bounded sample.  Because the output is linear in the average, each bucket's contribution to
 the logit is tabulated once, and scoring a text is gathers and a sum.
 """
 
@@ -21,7 +21,7 @@ from .common import fraction_filter
 
 #: Hash buckets, vector size, character n-grams, passes, first learning rate, and the
 #: documented bound on the labelled documents that the classifier is fitted on.
-BUCKETS, DIM, NGRAMS, EPOCHS, RATE, MAX_LABELLED = 1 << 16, 8, (3, 4), 6, 0.5, 2000
+BUCKETS, DIM, NGRAMS, EPOCHS, RATE, MAX_LABELLED = 1 << 16, 8, (3, 4), 6, 0.5, 4000
 STEP_TEXTS = 64
 _BIAS, _REPEAT = 0, 1  # reserved buckets: every document's, and a word equal to the one before it
 _SPACE = np.zeros(256, bool)
@@ -102,13 +102,33 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Clas
     return Classifier((vec @ (out[1] - out[0])).astype(np.float32))
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, y, idx, cnt) rows of one partition, in order of id, to one row with the table's bytes."""
+    rows = []
+    for b in batches:
+        idx, cnt = b.column(2), b.column(3)
+        ends, flat, n = idx.offsets.to_numpy() - idx.offsets[0].as_py(), idx.flatten().to_numpy(), cnt.flatten().to_numpy()
+        for i, (key, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            rows.append((key, flat[ends[i] : ends[i + 1]].copy(), n[ends[i] : ends[i + 1]].copy(), y))
+    # repeated ids are settled by their features, so that the order of arrival cannot count
+    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    table = train([r[1:] for r in rows]).table
+    yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["table"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = MAX_LABELLED) -> Classifier:
     """Fit on at most about ``limit`` labelled documents, picked by a hash of the id.
 
-    The picked ids (bounded by limit) are broadcast against documents, so no text is
-    shuffled; only hashed features of the picked documents reach the driver.
+    The picked ids (bounded by limit) are broadcast against documents, so no long text is
+    shuffled; hashed features of the picked documents meet in one task, which trains, and
+    only the table of BUCKETS floats reaches the driver.
+
+    Edge cases: labels other than 0 and 1 are not learned from; an id labelled both ways
+    counts as 1; a labelled id without a document, and null labels, count for nothing;
+    null and empty texts teach what a text without words is; rows that repeat an id are
+    learned from each; without labels, or with one class only, every score is the same.
     """
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y"))
+    known = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND lid IS NOT NULL")
     total = known.count()
     if not total:
         return train([])
@@ -123,22 +143,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array([x.astype(np.int32) for x, _ in pairs], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in pairs], pa.list_(pa.int32()))], names=["id", "y", "idx", "cnt"])
 
     texts = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("t")).join(F.broadcast(picked), "lid")
-    rows = texts.select(F.col("lid").cast("string").alias("id"), "y", "t").mapInArrow(made, schema).toPandas().sort_values("id", kind="stable")
-    return train([(np.asarray(i), np.asarray(c), int(y)) for i, c, y in zip(rows.idx, rows.cnt, rows.y, strict=True)])
+    rows = texts.select(F.col("lid").cast("string").alias("id"), "y", "t").mapInArrow(made, schema)
+    fitted = rows.repartition(1).mapInArrow(_trained, "table binary").collect()
+    return Classifier(np.frombuffer(bytes(fitted[0].table), np.float32)) if fitted else train([])
 
 
-def score(df: DataFrame, fitted: Classifier, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: id (and the columns in ``keep``), score, predicted (1 if score >= 0.5).
+def score(df: DataFrame, fitted: Classifier, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """One row per input row: id (or the columns in ``keep``), score, predicted (1 if score >= 0.5).
 
-    A narrow map over Arrow batches; the broadcast table has BUCKETS floats.
+    A narrow map over Arrow batches; the broadcast table has BUCKETS floats.  ``names`` are
+    those of the two new columns; they must not be among the kept ones.
 
     Edge cases: null and empty texts and texts of white space only get the score of
-    a document without words; repeated rows stay; columns not named are ignored.
+    a document without words; repeated rows stay; an empty table gives an empty result;
+    columns not named are ignored.
     """
-    shared = df.sparkSession.sparkContext.broadcast(fitted)
     cols = keep if keep is not None else [id_col]
-    schema = T.StructType([*[df.schema[c] for c in cols], *T._parse_datatype_string("score double, predicted int").fields])
-    names = [f.name for f in schema.fields]
+    if set(names) & set(cols):
+        raise ValueError(f"kept columns are named like new ones: {sorted(set(names) & set(cols))}")
+    shared = df.sparkSession.sparkContext.broadcast(fitted)
+    schema = T.StructType([*[df.schema[c] for c in cols], T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
+    fields = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -146,6 +171,7 @@ def score(df: DataFrame, fitted: Classifier, id_col: str = "doc_id", text_col: s
             for at in range(0, b.num_rows, STEP_TEXTS):
                 p = b.slice(at, STEP_TEXTS)
                 s = np.array([m.score(t) for t in p.column(p.num_columns - 1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*p.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([*p.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=fields)
 
-    return df.select(*[F.col(c) for c in cols], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    # inside, columns go by their place, so that no name can clash
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.col(f"`{text_col}`").alias("judged")).mapInArrow(run, schema)
