@@ -187,9 +187,8 @@ def ordered_prefix(text: str | None, sketch: np.ndarray) -> tuple[np.ndarray, np
     return tokens[order[places]], places, len(tokens), set_key(tokens)
 
 
-def postings(df: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(id, key, n, tokens, places) of every document's prefix."""
-    shared = df.sparkSession.sparkContext.broadcast(sketch)
+def postings(df: DataFrame, shared) -> DataFrame:
+    """(id, key, n, tokens, places) of every document's prefix; shared: the broadcast word sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -269,13 +268,14 @@ def twice_table(raw: DataFrame, tables: list) -> np.ndarray:
     return out.reshape(-1)
 
 
-def met_twice(raw: DataFrame) -> DataFrame:
+def met_twice(raw: DataFrame) -> tuple[DataFrame, list]:
     """(id, key, n, tokens, places): only tokens whose hash cells hold two postings or more, at both levels.
 
     All postings are counted by cell, in a table of fixed size; what passes is counted
     again by other bits of its hash, which removes most of those that met by chance.
     A token of two documents is never lost; some of one document pass, and the exact
-    test that follows removes them.  The fuller the tables, the less they save.
+    test that follows removes them.  The fuller the tables, the less they save.  With the
+    broadcasts that the rows are read through.
     """
     context, tables = raw.sparkSession.sparkContext, []
     for _ in range(2):
@@ -293,11 +293,11 @@ def met_twice(raw: DataFrame) -> DataFrame:
             kept = [pa.ListArray.from_arrays(ends, pa.array(x[hit])) for x in (token, b.column(4).flatten().to_numpy())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *kept], names=["id", "key", "n", "tokens", "places"]).filter(pa.array(left > 0))
 
-    return raw.select("id", "key", "n", "tokens", "places").mapInArrow(run, "id long, key long, n long, tokens array<long>, places array<int>")
+    return raw.select("id", "key", "n", "tokens", "places").mapInArrow(run, "id long, key long, n long, tokens array<long>, places array<int>"), tables
 
 
-def texts_of(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the wanted ids, and of a few others that a bit filter of fixed size lets through.
+def texts_of(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
+    """(id, text) of the wanted ids, and of a few others that a bit filter of fixed size lets through; and the filter's broadcast.
 
     The filter keeps unwanted texts out of every shuffle.  It only lets too much
     through when it is full, never too little; the joins that follow are exact.
@@ -326,7 +326,7 @@ def texts_of(df: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["id", "text"]).filter(pa.array(hit.astype(bool)))
 
     src = df.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("b"))
-    return src.mapInArrow(run, "id long, text string")
+    return src.mapInArrow(run, "id long, text string"), shared
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -377,7 +377,8 @@ def open_groups(docs: DataFrame, opened: DataFrame, members: DataFrame) -> DataF
     group; one link to a group is enough to connect the document with all of it.
     """
     wanted = members.select("id").unionByName(opened.select(F.col("a").alias("id")))
-    sets = materialize(_token_sets(texts_of(docs, wanted).dropDuplicates(["id"])), "tokens")
+    texts, shared = texts_of(docs, wanted)
+    sets = materialize(_token_sets(texts.dropDuplicates(["id"])), "tokens", shared)
     asking = opened.groupBy("g").agg(F.ceil(F.sum("na") / LOAD).cast("int").alias("askers"))
     holding = members.groupBy("g").agg(F.ceil(F.sum("n") / LOAD).cast("int").alias("holders"))
     blocks = materialize(asking.join(holding, "g"), "blocks")
@@ -500,16 +501,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     described = materialize(describe(docs), "sets")
     facts = materialize(described.where("cell IS NULL").select("id", "n", "key"), "facts")
     classes = materialize(facts.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("id")), "classes")
-    sketch = word_sketch(described.where("cell IS NOT NULL").select("cell", "c"))
+    sketch = docs.sparkSession.sparkContext.broadcast(word_sketch(described.where("cell IS NOT NULL").select("cell", "c")))
     discard(described)
 
-    written = materialize(postings(docs, sketch), "postings")
-    raw = met_twice(written)
+    written = materialize(postings(docs, sketch), "postings", sketch)
+    raw, tables = met_twice(written)
     # one document stands for its class; its whole posting list travels as one row
     ids = classes.select(F.xxhash64("key", "n").alias("k"), F.col("id").alias("first"))
     own = raw.withColumn("k", F.xxhash64("key", "n")).join(ids, "k").where(F.col("id") == F.col("first")).dropDuplicates(["id"])
-    posted = materialize(own.select("id", "n", F.explode(F.arrays_zip("tokens", "places")).alias("at")).select("id", "n", F.col("at.tokens").alias("token"), F.col("at.places").alias("place")), "posted")
+    posted = materialize(own.select("id", "n", F.explode(F.arrays_zip("tokens", "places")).alias("at")).select("id", "n", F.col("at.tokens").alias("token"), F.col("at.places").alias("place")), "posted", *tables)
     discard(written)
+    del raw, own, sketch, tables
     # pivots of a token: the documents of the first id, the last one, and the first by hash.
     # Aggregated by the token and joined by its complement: the join then has a shuffle of
     # its own, in which a frequent token can be split
@@ -530,7 +532,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     stars = materialize(stars, "stars")
-    texts = materialize(texts_of(docs, stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id")))), "texts")
+    texts, shared = texts_of(docs, stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))))
+    texts = materialize(texts, "texts", shared)
     links = materialize(verify(stars, texts.dropDuplicates(["id"])), "links")
     discard(stars, texts)
     groups = components(links)
