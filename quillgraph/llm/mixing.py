@@ -138,7 +138,7 @@ def fit_rates(members: DataFrame, domains: int, targets: list[float] | None = No
     return residuals, targets
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.7, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", total_tokens: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.7, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", total_tokens: float | None = None, prefix: str = "mix_") -> DataFrame:
     """All columns of docs and: mix_tokens long, mix_posterior array<double>, mix_rate double, mix_copies long.
 
     weights: target share of expected tokens by domain (scaled to sum to 1; a domain
@@ -152,15 +152,19 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
 
     Edge cases: a null or empty text has no tokens, equal scores for all domains before
     the softmax, and rate 1; without labelled rows every rate is 1 and posteriors are
-    empty; repeated rows get equal rates.  Columns of docs with these names are replaced.
+    empty; repeated rows get equal rates; an empty table gives an empty result.  Columns
+    of docs that are named like new ones raise an error: choose another ``prefix``.
     """
+    tokens, posterior, rate_of, copies = (f"{prefix}{c}" for c in ("tokens", "posterior", "rate", "copies"))
+    if clash := {tokens, posterior, rate_of, copies} & set(docs.columns):
+        raise ValueError(f"docs has columns named like new ones: {sorted(clash)}")
     fitted = fit_domains(docs, labelled, id_col, text_col, domain_col)
     n = len(fitted.names)
     unknown = sorted(name for name, v in (weights or {}).items() if v > 0 and name not in fitted.names)
     if unknown:
         raise ValueError(f"weights name domains without a labelled document to learn from: {', '.join(unknown)}")
-    out = fitted.add_posteriors(docs, text_col, "mix_tokens", "mix_posterior")
-    members = materialize(out.select(F.col("mix_tokens").alias("tokens"), F.col("mix_posterior").alias("p")), "mixing") if n else None
+    out = fitted.add_posteriors(docs, text_col, tokens, posterior)
+    members = materialize(out.select(F.col(tokens).alias("tokens"), F.col(posterior).alias("p")), "mixing") if n else None
     residuals: list[list[float]] = []
     if n:
         if weights is None:
@@ -170,7 +174,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
             raw = [max(0.0, weights.get(name, 0.0)) for name in fitted.names]
         share = [round(v / sum(raw), 9) for v in raw] if sum(raw) > 0 else [1.0 / n] * n
         residuals, _ = fit_rates(members, n, total_tokens=total_tokens, weights=share)
-    rate = _rate(F.col("mix_posterior"), residuals) if n else F.lit(1.0)
-    out = out.withColumn("mix_rate", F.when(F.col("mix_tokens") > 0, F.round(rate, 6)).otherwise(F.lit(1.0)))
+    rate = _rate(F.col(posterior), residuals) if n else F.lit(1.0)
+    out = out.withColumn(rate_of, F.when(F.col(tokens) > 0, F.round(rate, 6)).otherwise(F.lit(1.0)))
     coin = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col), F.length(text_col)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return out.withColumn("mix_copies", F.floor(F.col("mix_rate") + coin))
+    return out.withColumn(copies, F.floor(F.col(rate_of) + coin))
