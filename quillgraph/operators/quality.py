@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .validate import parse_completions, rule_filter
 
+# Whether a schema binds the answer, and the temperature, of each setting of a candidate.
+SETTINGS = [(True, 0.1), (True, 0.3), (False, 0.5), (False, 0.8)]
+
 # Edges of ten equal bins as binary floating point has them.
 BIN_EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
 
@@ -48,6 +54,19 @@ def completion_quality(completions: DataFrame, keys: list[str], text_col: str =
     return out.select(*keys, attempted.cast("long").alias("attempted"), k.cast("long").alias("kept"), F.when(attempted > 0, k / attempted).otherwise(0.0).alias("score"))
 
 
+def candidates(chunks: DataFrame, ask: Callable[[DataFrame], DataFrame], least_attempted: int = 2) -> DataFrame:
+    """chunk_id, setting, completion, attempted, kept, score of each chunk's completions under SETTINGS.
+
+    ask: (chunk_id, text, setting, schema, temperature) to the same rows with a completion.
+    Completions of too few triples are left out.
+    """
+    rows = [F.struct(F.lit(i).alias("setting"), F.lit(schema).alias("schema"), F.lit(heat).alias("temperature")) for i, (schema, heat) in enumerate(SETTINGS)]
+    said = ask(chunks.select("chunk_id", "text", F.explode(F.array(*rows)).alias("s")).select("chunk_id", "text", "s.*"))
+    said = materialize(said.select("chunk_id", "setting", "completion"), "candidates")
+    scored = completion_quality(said, ["chunk_id", "setting"]).where(F.col("attempted") >= least_attempted)
+    return said.join(scored, ["chunk_id", "setting"])
+
+
 def preference_pairs(candidates: DataFrame, least_gap: float = 0.25, least_attempted: int = 2) -> DataFrame:
     """prompt, chosen, rejected and their scores: each prompt's best and worst candidate (ties to the
     smaller text), if two or more candidates count and the gap is wide enough."""

@@ -62,6 +62,12 @@ def summary(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("n_edges"), F.countDistinct("predicate").alias("n_predicates"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence")).crossJoin(F.broadcast(nodes))  # one row each
 
 
+def batch_summary(triples: DataFrame, batch_col: str = "batch") -> DataFrame:
+    """(batch, n_triples, mean_confidence); the mean is 0 where no triple has a confidence."""
+    mean = F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence")
+    return triples.groupBy(batch_col).agg(F.count("*").alias("n_triples"), mean)
+
+
 def type_counts(edges: DataFrame) -> DataFrame:
     return endpoints(edges).groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
 

@@ -52,7 +52,7 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 GOOD = '{"subject":"Acme %d","subject_type":"ORGANIZATION","predicate":"develops","target":"Widget","target_type":"PRODUCT"}'
 OTHER = '{"subject":"Widget","subject_type":"PRODUCT","predicate":"part_of","target":"Machine","target_type":"PRODUCT"}'
 
-#: Completions by customer key modulo 8; %d stands for the key.
+#: Completions by number, which is the customer key modulo 8; %d stands for the key.
 COMPLETIONS = (
     "not json",
     '{"foo":1}',
@@ -65,10 +65,15 @@ COMPLETIONS = (
 )
 
 
+def completion_of(which, key):
+    """The completion of a number; %d stands for the key."""
+    text = F.lit(COMPLETIONS[0])
+    for i, c in enumerate(COMPLETIONS[1:], 1):
+        text = F.when(which == i, F.replace(F.lit(c), F.lit("%d"), key.cast("string"))).otherwise(text)
+    return text
+
+
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, completion)."""
     key = F.col("c_custkey")
-    text = F.lit(COMPLETIONS[0])
-    for i, c in enumerate(COMPLETIONS[1:], 1):
-        text = F.when(key % 8 == i, F.replace(F.lit(c), F.lit("%d"), key.cast("string"))).otherwise(text)
-    return table(spark, sf_dir, "customer").select(key.cast("long").alias("chunk_id"), text.alias("completion"))
+    return table(spark, sf_dir, "customer").select(key.cast("long").alias("chunk_id"), completion_of(key % 8, key).alias("completion"))

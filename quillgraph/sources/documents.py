@@ -79,6 +79,12 @@ def read_files(spark: SparkSession, path: str, parsers: dict[str, Callable[[byte
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of JSON lines; with a schema no pass is needed to find one, and a broken line raises an error."""
+    reader = spark.read.option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text), one row per file, JVM-side."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))

@@ -19,13 +19,24 @@ def write_graph(edges: DataFrame, path: str, ranks: DataFrame | None = None, gro
     export_edges(edges).write.mode("overwrite").json(f"{path}/edges.json")
 
 
-def checkpoint(df: DataFrame, path: str, number: int) -> str:
+#: Columns of a preference data set.
+PREFERENCES = "prompt string, chosen string, rejected string, chosen_score double, rejected_score double"
+
+
+def checkpoint(df: DataFrame, path: str) -> str:
+    """df as the next numbered Parquet folder under path; returns the folder."""
+    spark = df.sparkSession
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    taken = [f.getPath().getName() for f in files.listStatus(root)] if files.exists(root) else []
+    number = 1 + max((int(n.rsplit("-", 1)[1]) for n in taken if n.startswith("checkpoint-")), default=-1)
     target = f"{path}/checkpoint-{number:05d}"
-    df.write.mode("overwrite").option("compression", "snappy").parquet(target)
+    df.write.option("compression", "snappy").parquet(target)
     return target
 
 
 def write_preferences(pairs: DataFrame, path: str) -> None:
+    """Pairs as JSON lines."""
     pairs.write.mode("overwrite").json(path)
 
 
