@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich, graph, knn, resolve, segment, triples, validate
+from ..sources import documents
+from ..sources.pdf import read_pdfs
 from ..storage import materialize
 
 
@@ -47,6 +49,15 @@ def chunk_sections(sections: DataFrame, s: Settings = Settings()) -> DataFrame:
     return rows.withColumn("chunk_id", F.xxhash64("doc_id", "section_no", "chunk_no"))
 
 
+def pdf_sections(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, section_no, title, text) of PDF files: by their outline, or blocks of pages where it gives none."""
+    pages, toc = read_pdfs(spark, path)
+    pages = materialize(pages, "pages")
+    listed = materialize(documents.sections_from_toc(pages, toc), "sections")
+    plain = documents.sections_from_blocks(pages.join(listed.select("doc_id").distinct(), "doc_id", "left_anti"))
+    return listed.unionByName(plain)
+
+
 def extract_two_pass(chunks: DataFrame, ask: Callable[[DataFrame], DataFrame], s: Settings = Settings()) -> DataFrame:
     """(chunk_id, step, five fields, confidence): a local pass, and one that names known entities.
 

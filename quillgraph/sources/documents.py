@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from .pdf import pdf_text
 
 #: Shortest section kept, pages of a block, deepest entry used, mean length under which text is sparse.
 LEAST_CHARS, BLOCK_PAGES, DEEPEST, SPARSE = 80, 8, 2, 200
@@ -69,8 +70,8 @@ def decode(data: bytes) -> str:
 
 
 def read_files(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """(path, text) of files: text, DOCX, and by ``parsers`` (suffix -> function of bytes) others such as PDF."""
-    known = {"docx": docx_text} | (parsers or {})
+    """(path, text) of files: text, DOCX, PDF, and by ``parsers`` (suffix -> function of bytes) others."""
+    known = {"docx": docx_text, "pdf": pdf_text} | (parsers or {})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
