@@ -54,7 +54,9 @@ def classify_domains(texts: DataFrame, id_col: str = "id", text_col: str = "text
     dots = vectors.join(labels, "slot").groupBy(id_col, "ord").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
     best = dots.groupBy(id_col).agg(F.min(F.struct((-F.col("score")).alias("neg"), "ord")).alias("b")).select(F.col(id_col).alias("__id"), "b")
     # a text that shares no slot with any label is as near to all: the first label
-    out = texts.select(id_col).join(best, F.col(id_col) == F.col("__id"), "left").select(id_col, F.coalesce("b.ord", F.lit(0)).alias("ord"), F.coalesce(-F.col("b.neg"), F.lit(0.0)).alias("score"))
+    out = texts.select(id_col).join(best, F.col(id_col) == F.col("__id"), "left").select(
+        id_col, F.coalesce("b.ord", F.lit(0)).alias("ord"), F.coalesce(-F.col("b.neg"), F.lit(0.0)).alias("score"),
+    )
     return out.join(F.broadcast(named.select("ord", "label")), "ord").select(id_col, "label", "score")
 
 

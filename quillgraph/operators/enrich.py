@@ -31,7 +31,9 @@ def cooccurrence(triples: DataFrame, chunks: DataFrame | None = None, cap: int |
     ents = ents.select(chunk_col, "e", "t", rank.alias("r"))
     if cap is not None:
         ents = ents.where(F.col("r") <= cap)
-    a, b = ents.select(c, F.col("e").alias("subject"), F.col("t").alias("subject_type"), F.col("r").alias("ra")), ents.select(c, F.col("e").alias("target"), F.col("t").alias("target_type"), F.col("r").alias("rb"))
+    a, b = ents.select(
+        c, F.col("e").alias("subject"), F.col("t").alias("subject_type"), F.col("r").alias("ra"),
+    ), ents.select(c, F.col("e").alias("target"), F.col("t").alias("target_type"), F.col("r").alias("rb"))
     pairs = a.join(b, chunk_col).where("ra < rb").withColumns({"lo": F.least("subject", "target"), "hi": F.greatest("subject", "target")})
     joined = triples.select(c, F.least("subject", "target").alias("lo"), F.greatest("subject", "target").alias("hi")).distinct()
     new = pairs.join(joined, [chunk_col, "lo", "hi"], "left_anti")

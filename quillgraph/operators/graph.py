@@ -63,7 +63,10 @@ def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, wei
     ranks, written = nodes.select("id", "has", F.lit(1.0 / n).alias("r")), [flat]
     for _ in range(iterations):
         # a node's own row carries its old rank beside what its neighbours give
-        given = links.join(ranks.select(F.col("id").alias("src_id"), "r"), "src_id").select(F.col("dst_id").alias("id"), F.lit(False).alias("has"), (F.col("r") * F.col("share")).alias("g"), F.lit(0.0).alias("was"))
+        given = links.join(ranks.select(F.col("id").alias("src_id"), "r"), "src_id").select(
+            F.col("dst_id").alias("id"), F.lit(False).alias("has"), (F.col("r") * F.col("share")).alias("g"),
+            F.lit(0.0).alias("was"),
+        )
         own = ranks.select("id", "has", F.lit(0.0).alias("g"), F.col("r").alias("was"))
         met = given.unionByName(own).groupBy("id").agg(F.max("has").alias("has"), F.sum("g").alias("g"), F.sum("was").alias("was"))
         new = materialize(met.select("id", "has", ((1 - damping) / n + damping * (F.col("g") + F.lit(loose / n))).alias("r"), "was"), "ranks")
@@ -250,12 +253,19 @@ def export_nodes(edges: DataFrame, ranks: DataFrame | None = None, groups: DataF
     nodes = nodes.join(ranks, "id", "left") if ranks is not None else nodes.withColumn("pagerank", F.lit(0.0))
     nodes = nodes.join(groups, "id", "left") if groups is not None else nodes.withColumn("community_id", F.lit(-1).cast("long"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return nodes.select("id", "label", "type", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"), zero("in_degree"), zero("out_degree"), F.coalesce("community_id", F.lit(-1).cast("long")).alias("community_id"), zero("degree"))
+    return nodes.select(
+        "id", "label", "type", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"), zero("in_degree"), zero("out_degree"),
+        F.coalesce("community_id", F.lit(-1).cast("long")).alias("community_id"), zero("degree"),
+    )
 
 
 def export_edges(edges: DataFrame) -> DataFrame:
     source = F.col("edge_source") if "edge_source" in edges.columns else F.lit("extracted")
-    return edges.select(F.col("src_id").alias("source"), F.col("dst_id").alias("target"), F.col("subject").alias("source_label"), F.col("target").alias("target_label"), F.col("predicate").alias("label"), F.col("confidence").alias("weight"), "count", source.alias("edge_source"))
+    return edges.select(
+        F.col("src_id").alias("source"), F.col("dst_id").alias("target"), F.col("subject").alias("source_label"),
+        F.col("target").alias("target_label"), F.col("predicate").alias("label"), F.col("confidence").alias("weight"), "count",
+        source.alias("edge_source"),
+    )
 
 
 def hubs(triples: DataFrame, n: int = 5) -> DataFrame:

@@ -23,7 +23,9 @@ def calibration_bins(df: DataFrame) -> DataFrame:
     which = F.when((c >= 0) & (c <= BIN_EDGES[1]), 0)
     for i in range(1, 10):
         which = which.when((c > BIN_EDGES[i]) & (c <= BIN_EDGES[i + 1]), i)
-    return df.select(which.alias("bin"), "confidence", F.col("correct").cast("double").alias("ok")).where(F.col("bin").isNotNull()).groupBy("bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg("ok").alias("accuracy"))
+    return df.select(which.alias("bin"), "confidence", F.col("correct").cast("double").alias("ok")).where(F.col("bin").isNotNull()).groupBy("bin").agg(
+        F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg("ok").alias("accuracy"),
+    )
 
 
 def calibration_error(df: DataFrame) -> DataFrame:
@@ -71,6 +73,12 @@ def preference_pairs(candidates: DataFrame, least_gap: float = 0.25, least_attem
     """prompt, chosen, rejected and their scores: each prompt's best and worst candidate (ties to the
     smaller text), if two or more candidates count and the gap is wide enough."""
     ok = candidates.where(F.col("attempted") >= least_attempted)
-    per = ok.groupBy("prompt").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("score"), "completion")).alias("best"), F.min(F.struct("score", "completion")).alias("worst"), F.max("score").alias("hi"), F.min("score").alias("lo"))
+    per = ok.groupBy("prompt").agg(
+        F.count("*").alias("n"), F.min(F.struct(-F.col("score"), "completion")).alias("best"),
+        F.min(F.struct("score", "completion")).alias("worst"), F.max("score").alias("hi"), F.min("score").alias("lo"),
+    )
     wide = per.where((F.col("n") >= 2) & (F.col("hi") - F.col("lo") >= least_gap))
-    return wide.select("prompt", F.col("best.completion").alias("chosen"), F.col("worst.completion").alias("rejected"), F.col("hi").alias("chosen_score"), F.col("lo").alias("rejected_score"))
+    return wide.select(
+        "prompt", F.col("best.completion").alias("chosen"), F.col("worst.completion").alias("rejected"),
+        F.col("hi").alias("chosen_score"), F.col("lo").alias("rejected_score"),
+    )

@@ -22,7 +22,9 @@ def aggregate(triples: DataFrame) -> DataFrame:
     One grouped pass with map-side partial aggregation; the count needs no join.
     """
     first = F.min_by(F.struct(*NAMES), "seq")
-    return triples.groupBy("src_id", "rel_id", "dst_id").agg(F.avg("confidence").alias("confidence"), F.count("*").alias("count"), F.min("seq").alias("seq"), first.alias("f")).select("src_id", "rel_id", "dst_id", "confidence", "count", "seq", "f.*")
+    return triples.groupBy("src_id", "rel_id", "dst_id").agg(
+        F.avg("confidence").alias("confidence"), F.count("*").alias("count"), F.min("seq").alias("seq"), first.alias("f"),
+    ).select("src_id", "rel_id", "dst_id", "confidence", "count", "seq", "f.*")
 
 
 def confident(edges: DataFrame, least: float = 0.4) -> DataFrame:
@@ -34,7 +36,9 @@ def reaggregate(edges: DataFrame, weighted: bool = False) -> DataFrame:
     mean = F.sum(F.col("confidence") * F.col("count")) / F.sum("count") if weighted else F.avg("confidence")
     keep = [c for c in ("edge_source",) if c in edges.columns]
     first = F.min_by(F.struct("subject", "subject_type", "target", "target_type", *keep), "seq")
-    return edges.groupBy("src_id", "dst_id", "predicate").agg(mean.alias("confidence"), F.sum("count").alias("count"), F.min("seq").alias("seq"), first.alias("f")).select("src_id", "dst_id", "predicate", "confidence", "count", "seq", "f.*")
+    return edges.groupBy("src_id", "dst_id", "predicate").agg(
+        mean.alias("confidence"), F.sum("count").alias("count"), F.min("seq").alias("seq"), first.alias("f"),
+    ).select("src_id", "dst_id", "predicate", "confidence", "count", "seq", "f.*")
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -59,7 +63,10 @@ def first_mention(edges: DataFrame) -> DataFrame:
 def summary(edges: DataFrame) -> DataFrame:
     """One row: edges, distinct predicates, distinct labels, mean confidence (0 when empty)."""
     nodes = endpoints(edges).agg(F.countDistinct("label").alias("n_nodes"))
-    return edges.agg(F.count("*").alias("n_edges"), F.countDistinct("predicate").alias("n_predicates"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence")).crossJoin(F.broadcast(nodes))  # one row each
+    return edges.agg(
+        F.count("*").alias("n_edges"), F.countDistinct("predicate").alias("n_predicates"),
+        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence"),
+    ).crossJoin(F.broadcast(nodes))  # one row each
 
 
 def batch_summary(triples: DataFrame, batch_col: str = "batch") -> DataFrame:

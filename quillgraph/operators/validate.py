@@ -55,7 +55,10 @@ def parse_completions(completions: DataFrame, text_col: str = "completion", stri
     rows = F.when(F.col("drop_reason").isNull(), F.coalesce(fields, F.expr(f"CAST(array() AS ARRAY<STRUCT<{', '.join(f'{k}: STRING' for k in TRIPLE_KEYS)}>>)")))
     whole = F.array(F.struct(*[F.lit(None).cast("string").alias(k) for k in TRIPLE_KEYS]))
     v = v.select(*keep, "drop_reason", F.posexplode(F.coalesce(rows, whole)).alias("pos", "t"))
-    out = v.select(*keep, "pos", strip(F.col("t.subject")).alias("subject"), "t.subject_type", F.col("t.predicate").alias("predicate"), strip(F.col("t.target")).alias("target"), "t.target_type", "drop_reason")
+    out = v.select(
+        *keep, "pos", strip(F.col("t.subject")).alias("subject"), "t.subject_type", F.col("t.predicate").alias("predicate"),
+        strip(F.col("t.target")).alias("target"), "t.target_type", "drop_reason",
+    )
     if lenient:
         out = out.withColumn("predicate", normalize_predicate(F.col("predicate")))
     late = F.when(F.col("drop_reason").isNotNull(), F.col("drop_reason")).when((F.col("subject") == "") | (F.col("target") == ""), "dropped_missing_field")

@@ -117,7 +117,9 @@ def domain_classify(s, d):
 
 @query
 def domain_tags(s, d):
-    return classify.classify_domains(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), max_chars=None).select("id", "label", F.round("score", 6).alias("score"))
+    return classify.classify_domains(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), max_chars=None).select(
+        "id", "label", F.round("score", 6).alias("score"),
+    )
 
 
 @query
@@ -188,7 +190,11 @@ def logprob_confidence(s, d):
 
 def _order_triples(s, d):
     li = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return li.select(F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit("Order "), "l_orderkey").alias("subject"), F.lit("DOCUMENT").alias("subject_type"), F.lit("contains").alias("predicate"), F.col("p_name").alias("target"), F.lit("PRODUCT").alias("target_type"), F.col("l_linenumber").cast("long").alias("seq"))
+    return li.select(
+        F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit("Order "), "l_orderkey").alias("subject"),
+        F.lit("DOCUMENT").alias("subject_type"), F.lit("contains").alias("predicate"), F.col("p_name").alias("target"),
+        F.lit("PRODUCT").alias("target_type"), F.col("l_linenumber").cast("long").alias("seq"),
+    )
 
 
 @query
@@ -239,7 +245,12 @@ def low_yield_chunks(s, d):
 
 def _runs(s, d):
     e = table(s, d, "events")
-    return e.select(F.col("user_id").alias("chunk_id"), (F.col("event_id") % 5).alias("run_id"), F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("subject"), F.lit("CONCEPT").alias("subject_type"), F.lit("related_to").alias("predicate"), F.lit("Site").alias("target"), F.lit("PRODUCT").alias("target_type"), F.col("event_id").alias("seq"))
+    return e.select(
+        F.col("user_id").alias("chunk_id"), (F.col("event_id") % 5).alias("run_id"),
+        F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("subject"),
+        F.lit("CONCEPT").alias("subject_type"), F.lit("related_to").alias("predicate"), F.lit("Site").alias("target"),
+        F.lit("PRODUCT").alias("target_type"), F.col("event_id").alias("seq"),
+    )
 
 
 @query
@@ -289,14 +300,20 @@ def alias_rewrite(s, d):
 @query
 def edge_reaggregate(s, d):
     got = triples.reaggregate(_aliased(s, d))
-    return got.select(canonical_label(F.col("subject")).alias("subject"), "predicate", canonical_label(F.col("target")).alias("target"), r8(F.col("confidence")).alias("confidence"), "count")
+    return got.select(
+        canonical_label(F.col("subject")).alias("subject"), "predicate", canonical_label(F.col("target")).alias("target"),
+        r8(F.col("confidence")).alias("confidence"), "count",
+    )
 
 
 @query
 def reaggregate_sources(s, d):
     origin = F.when(F.col("seq") % 3 == 0, "extracted").otherwise("co_occurrence")
     got = triples.reaggregate(_aliased(s, d).withColumn("edge_source", origin), weighted=True)
-    return got.select(canonical_label(F.col("subject")).alias("subject"), "predicate", canonical_label(F.col("target")).alias("target"), r8(F.col("confidence")).alias("confidence"), "count", "edge_source")
+    return got.select(
+        canonical_label(F.col("subject")).alias("subject"), "predicate", canonical_label(F.col("target")).alias("target"),
+        r8(F.col("confidence")).alias("confidence"), "count", "edge_source",
+    )
 
 
 @query
@@ -352,7 +369,9 @@ def entity_similarities(s, d):
 
 @query
 def fuzzy_alias_pairs(s, d):
-    return resolve.alias_pairs(table(s, d, "part").select(F.col("p_name").alias("label")), 0.6, 70.0, "substring").select("a", "b", "contained", r8(F.col("similarity")).alias("similarity"))
+    return resolve.alias_pairs(table(s, d, "part").select(F.col("p_name").alias("label")), 0.6, 70.0, "substring").select(
+        "a", "b", "contained", r8(F.col("similarity")).alias("similarity"),
+    )
 
 
 @query
@@ -409,14 +428,21 @@ def _vector_edges(s, d):
     v = _vectors(s, d)
     kind = lambda c: F.when(c % 4 == 0, "PRODUCT").otherwise("CONCEPT")
     to = (F.col("id") * 7 + 3) % 100
-    return v.select(F.col("id").alias("src_id"), to.alias("dst_id"), F.lit("related_to").alias("predicate"), F.lit(0.5).alias("confidence"), F.lit(1).cast("long").alias("count"), F.col("id").alias("seq"), "label", kind(F.col("id")).alias("subject_type"), F.concat(F.lit("v"), to).alias("target"), kind(to).alias("target_type")).withColumnRenamed("label", "subject")
+    return v.select(
+        F.col("id").alias("src_id"), to.alias("dst_id"), F.lit("related_to").alias("predicate"), F.lit(0.5).alias("confidence"),
+        F.lit(1).cast("long").alias("count"), F.col("id").alias("seq"), "label", kind(F.col("id")).alias("subject_type"),
+        F.concat(F.lit("v"), to).alias("target"), kind(to).alias("target_type"),
+    ).withColumnRenamed("label", "subject")
 
 
 @query
 def edge_proposals(s, d):
     e = _vector_edges(s, d)
     got = knn.with_proposals(e, knn.missing_edges(_vectors(s, d), e, 0.35, 8), triples.node_view(e))
-    return got.select("src_id", "dst_id", "predicate", F.round("confidence", 6).alias("confidence"), "count", "subject", "subject_type", "target", "target_type", "edge_source")
+    return got.select(
+        "src_id", "dst_id", "predicate", F.round("confidence", 6).alias("confidence"), "count", "subject", "subject_type",
+        "target", "target_type", "edge_source",
+    )
 
 
 @query
@@ -435,7 +461,9 @@ def missing_edges(s, d):
 @query
 def type_aware_ids(s, d):
     e = star_triples(s, d)
-    return e.groupBy(type_aware_id(F.col("subject"), F.col("subject_type")).alias("id")).agg(F.min("subject").alias("label"), F.min("subject_type").alias("type"), F.count("*").alias("n")).drop("id")
+    return e.groupBy(type_aware_id(F.col("subject"), F.col("subject_type")).alias("id")).agg(
+        F.min("subject").alias("label"), F.min("subject_type").alias("type"), F.count("*").alias("n"),
+    ).drop("id")
 
 
 @query
@@ -522,7 +550,10 @@ def topk_edges(s, d):
 @query
 def vis_encoding(s, d):
     nodes = graph.styled_nodes(graph.export_nodes(star_edges(s, d)))
-    return nodes.select("label", "size", "colour", cooccur.node_size(F.lit(10), F.col("degree")).alias("node_size"), cooccur.edge_width(F.col("degree")).alias("edge_width"))
+    return nodes.select(
+        "label", "size", "colour", cooccur.node_size(F.lit(10), F.col("degree")).alias("node_size"),
+        cooccur.edge_width(F.col("degree")).alias("edge_width"),
+    )
 
 
 def _mentions(s, d):
@@ -559,8 +590,12 @@ def edge_export(s, d):
     sinks.write_graph(_edges(s, d), path)
     csv = s.read.option("header", True).csv(f"{path}/edges.csv").select("source", "target", F.col("label").alias("l2"))
     back = s.read.parquet(f"{path}/edges.parquet").join(csv, ["source", "target"]).where("label = l2")
-    js = s.read.schema("source long, target long, label string, count long").json(f"{path}/edges.json").select("source", "target", F.col("label").alias("l3"), F.col("count").alias("c3"))
-    return back.join(js, ["source", "target"]).where("label = l3 AND count = c3").select("source_label", "target_label", "label", r8(F.col("weight")).alias("weight"), "count", "edge_source")
+    js = s.read.schema("source long, target long, label string, count long").json(f"{path}/edges.json").select(
+        "source", "target", F.col("label").alias("l3"), F.col("count").alias("c3"),
+    )
+    return back.join(js, ["source", "target"]).where("label = l3 AND count = c3").select(
+        "source_label", "target_label", "label", r8(F.col("weight")).alias("weight"), "count", "edge_source",
+    )
 
 
 @query
@@ -621,7 +656,11 @@ def candidate_scores(s, d):
 
 def _preferences(s, d):
     o = table(s, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("setting"))
-    cand = o.select(F.col("o_orderkey").cast("string").alias("prompt"), F.concat_ws("-", "o_orderkey", "setting").alias("completion"), ((F.col("o_orderkey") + F.col("setting")) % 4).alias("attempted"), ((F.col("o_orderkey") * 7 + F.col("setting") * 13) % 10 / 10).alias("score"))
+    cand = o.select(
+        F.col("o_orderkey").cast("string").alias("prompt"), F.concat_ws("-", "o_orderkey", "setting").alias("completion"),
+        ((F.col("o_orderkey") + F.col("setting")) % 4).alias("attempted"),
+        ((F.col("o_orderkey") * 7 + F.col("setting") * 13) % 10 / 10).alias("score"),
+    )
     return quality.preference_pairs(cand)
 
 
@@ -643,7 +682,9 @@ def rule_extraction(s, d):
     named = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     text = F.concat("n_name", F.lit(" is part of "), "r_name", F.lit(". Nothing here. "), "r_name", F.lit(" contains "), "n_name", F.lit("."))
     got = extractors.by_rules(named.select(F.col("n_nationkey").cast("long").alias("chunk_id"), text.alias("text")))
-    return validate.parse_completions(got.drop("token_logprobs")).select("chunk_id", F.col("pos").cast("long").alias("pos"), "subject", "predicate", "target", "drop_reason")
+    return validate.parse_completions(got.drop("token_logprobs")).select(
+        "chunk_id", F.col("pos").cast("long").alias("pos"), "subject", "predicate", "target", "drop_reason",
+    )
 
 
 def _event_stream(s, d):
@@ -656,7 +697,11 @@ def stream_triples(s, d):
     root = scratch(s, "stream")
 
     def to_triples(batch):
-        return batch.select(F.concat(F.lit("user "), "user_id").alias("subject"), F.lit("PERSON").alias("subject_type"), F.lit("performs").alias("predicate"), F.col("event_type").alias("target"), F.lit("EVENT").alias("target_type"), F.least(F.lit(1.0), F.col("value") / 100).alias("confidence"), F.col("event_id").alias("seq"))
+        return batch.select(
+            F.concat(F.lit("user "), "user_id").alias("subject"), F.lit("PERSON").alias("subject_type"),
+            F.lit("performs").alias("predicate"), F.col("event_type").alias("target"), F.lit("EVENT").alias("target_type"),
+            F.least(F.lit(1.0), F.col("value") / 100).alias("confidence"), F.col("event_id").alias("seq"),
+        )
 
     micro.stream_triples(_event_stream(s, d), to_triples, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return micro.edges_so_far(s, f"{root}/out").select("subject", "target", r8(F.col("confidence")).alias("confidence"), "count")

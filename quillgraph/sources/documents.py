@@ -34,7 +34,10 @@ def sections_from_toc(pages: DataFrame, toc: DataFrame) -> DataFrame:
     page the first is empty.  The page meets its entry by an equi-join on the document.
     """
     w = Window.partitionBy("doc_id").orderBy("entry_no")
-    spans = toc.where(F.col("level") <= DEEPEST).select("doc_id", F.col("entry_no").alias("section_no"), "title", (F.col("page_no") - 1).alias("lo"), (F.lead("page_no").over(w) - 1).alias("hi"))
+    spans = toc.where(F.col("level") <= DEEPEST).select(
+        "doc_id", F.col("entry_no").alias("section_no"), "title", (F.col("page_no") - 1).alias("lo"),
+        (F.lead("page_no").over(w) - 1).alias("hi"),
+    )
     met = pages.join(spans, "doc_id").where((F.col("page_no") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("page_no") < F.col("hi"))))
     return _joined(met, ["doc_id", "section_no", "title"]).select("doc_id", "section_no", "title", "text")
 
@@ -43,7 +46,10 @@ def sections_from_blocks(pages: DataFrame, size: int = BLOCK_PAGES) -> DataFrame
     """Documents without entries: blocks of ``size`` pages named pages_{first}_{last}, counted from 1."""
     block = F.floor(F.col("page_no") / size)
     last = F.max("page_no").over(Window.partitionBy("doc_id"))
-    named = pages.withColumn("last", last).select("doc_id", "page_no", "text", block.alias("section_no"), F.concat(F.lit("pages_"), block * size + 1, F.lit("_"), F.least(block * size + size, F.col("last") + 1)).alias("title"))
+    named = pages.withColumn("last", last).select(
+        "doc_id", "page_no", "text", block.alias("section_no"),
+        F.concat(F.lit("pages_"), block * size + 1, F.lit("_"), F.least(block * size + size, F.col("last") + 1)).alias("title"),
+    )
     return _joined(named, ["doc_id", "section_no", "title"]).select("doc_id", F.col("section_no").cast("int").alias("section_no"), "title", "text")
 
 
@@ -101,7 +107,11 @@ def parse_metrics(df: DataFrame, text_col: str = "text", prefixes: list[str] | N
     rows = df.select(*keep, F.explode(F.split(text_col, "\n")).alias("line")).where(F.col("line").rlike(line))
     pairs = F.regexp_extract_all(F.regexp_extract("line", line, 2), F.lit(r'([A-Za-z_][A-Za-z0-9_]*="[^"]*")'), F.lit(1))
     entry: Callable[[Column], Column] = lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_extract(p, r'"([^"]*)"', 1).alias("v"))
-    out = rows.select(*keep, F.regexp_extract("line", line, 1).alias("name"), F.map_from_entries(F.array_sort(F.transform(pairs, entry))).alias("labels"), F.regexp_extract("line", line, 3).cast("double").alias("value"))
+    out = rows.select(
+        *keep, F.regexp_extract("line", line, 1).alias("name"),
+        F.map_from_entries(F.array_sort(F.transform(pairs, entry))).alias("labels"),
+        F.regexp_extract("line", line, 3).cast("double").alias("value"),
+    )
     if prefixes:
         out = out.where(F.col("name").rlike("^(" + "|".join(re.escape(p) for p in prefixes) + ")"))
     return out
