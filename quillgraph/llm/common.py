@@ -1,90 +1,26 @@
-"""Shared helpers: written intermediates in the cluster's shared folder, table access, hashing."""
+"""Shared helpers: table access, hashing, filters of ids; written intermediates come from the library's store."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import weakref
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import appended, discard, materialize
+
+__all__ = ["appended", "bloom", "bloom_block", "bloom_mask", "crc_bucket", "discard", "fraction_filter", "freeing", "materialize", "split_by_ids", "table"]
+
 #: Bits of an id filter per id, and the most blocks of 64 bits (a broadcast of some 8 MB).
 #: With more ids the blocks fill up and let more rows through; exact joins follow.
 FILTER_BITS_PER_ID, MAX_FILTER_BLOCKS = 16, 1 << 18
 
-#: Whether shuffle files go when their query ends; nothing reads them once its result is written.
-_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_WRITTEN: list[tuple[SparkSession, str]] = []
-_FOLDER: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str, *done) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    Cuts lineage: a lost executor costs a re-read of finished files, not a
-    recomputation of everything upstream.  Files are removed when Python exits.
-    ``done`` are broadcasts that nothing needs any more once df is written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillgraph/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
-    spark.conf.set(_SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_SHUFFLE_CLEANUP, before)
-    for shared in done:
-        shared.destroy()
-    _WRITTEN.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    _FOLDER[out] = path
-    return out
-
-
-def appended(written: list[DataFrame], schema: str) -> DataFrame:
-    """The rows of several materialized tables of one schema, in one scan."""
-    return written[0].sparkSession.read.schema(schema).parquet(*[_FOLDER[df] for df in written])
-
-
-def discard(*written: DataFrame) -> None:
-    """Remove the files of materialized tables; call it once all that reads them is written itself."""
-    for df in written:
-        entry = (df.sparkSession, _FOLDER.pop(df))
-        release(*entry)
-        _WRITTEN.remove(entry)
-
-
-def release(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _release_all() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-                release(spark, path)
-        except Exception:  # the JVM may be gone already; the folder's owner then cleans up
-            return
-
-
 def crc_bucket(id_col: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo: the fixed split into folds."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
@@ -96,6 +32,23 @@ def fraction_filter(fraction: float, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(scale)) < F.lit(max(1, round(fraction * scale)))
 
 
+def freeing(run: Callable[[Iterator], Iterator], forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow, with what it keeps in its worker given back at the end of a task.
+
+    Workers serve one stage after another; tables that they kept would add up.  forget is a
+    function of a module, since only those reach the worker's own tables.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def bloom_block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks))
 

@@ -3,8 +3,8 @@
 A text is cut into units at white-space marks (no piece of the vocabulary crosses
 one).  Units not seen before are encoded together: one flat numpy array of symbols,
 and in each round every unit finds its best-ranked adjacent pairs, merges them, and the
-array is compacted, until no pair remains.  Encoded units are kept in a bounded
-per-worker table, so repeated words cost one lookup.
+array is compacted, until no pair remains.  A task keeps encoded units in a bounded
+table, so repeated words cost one lookup.
 
 Which pairs go in a round: the reference order merges, over and over, the adjacent pair
 of the best rank, the leftmost of equals.  A pair's turn is the worst rank met in the
@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import freeing
+
 MARK = "▁"
 _UNIT = re.compile(" +[^ ]*|[^ ]+")
 #: Units kept per worker, characters of all kept units, texts per step, and characters of a batch of new units.
@@ -200,7 +202,7 @@ class Model:
         return out.astype(np.int32), np.bincount(word, weights=times, minlength=len(lens)).astype(np.int64)
 
     def learn(self, units: list[str]) -> None:
-        """Encode units and add them to the worker's table; there they hold plain spaces."""
+        """Encode units and add them to the table; there they hold plain spaces."""
         units = sorted(units, key=len)
         ends = np.cumsum([len(u) for u in units])
         cuts = [0, *np.searchsorted(ends, np.arange(BATCH, ends[-1], BATCH)).tolist(), len(units)]
@@ -285,11 +287,16 @@ def model(path: str) -> Model:
     return _MODELS[path]
 
 
+def _forget() -> None:
+    for m in _MODELS.values():
+        m._reset()
+
+
 def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
     """One row per input row: id, ids array<int> (with an end id), decoded string.
 
     A narrow map over Arrow batches: no shuffle, no collected state; memory is bounded
-    by STEP_TEXTS texts and MAX_UNITS units of MAX_KEPT ids per worker.  A lost executor costs
+    by STEP_TEXTS texts and MAX_UNITS units of MAX_KEPT ids per task.  A lost executor costs
     its own tasks only.
 
     Edge cases: null counts as empty (ids hold the end id only, decoded is empty);
@@ -310,4 +317,4 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
                 texts = pa.array([m.decode(e) for e in encoded] if decode else [None] * len(encoded), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, texts], names=[id_col, "ids", "decoded"])
 
-    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(freeing(run, _forget), schema)

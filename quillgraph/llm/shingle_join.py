@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, freeing, materialize
 
 #: Words in a shingle, similarity as a ratio of whole numbers, cells of the word
 #: sketch (one byte each: the size of its broadcast), bits of the id filter, and the
@@ -46,8 +46,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _forget() -> None:
+    _HASHES.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes, through a bounded per-worker table of words seen."""
+    """64-bit hashes, through a bounded table of the words that a task has seen."""
     if len(_HASHES) > MAX_WORDS_KEPT:
         _HASHES.clear()
     for w in set(words).difference(_HASHES):
@@ -128,7 +132,7 @@ def describe(df: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return df.select("id", "text").mapInArrow(run, "id long, n long, key long, cell int, c long")
+    return df.select("id", "text").mapInArrow(freeing(run, _forget), "id long, n long, key long, cell int, c long")
 
 
 def _packed(rows: DataFrame, cell: str, cells: int, level) -> np.ndarray:
@@ -203,7 +207,7 @@ def postings(df: DataFrame, shared) -> DataFrame:
                 tokens, places = (pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[k] for r in rows]))) for k in (2, 4))
                 yield pa.RecordBatch.from_arrays([pa.array([r[3] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), tokens, places], names=["id", "key", "n", "tokens", "places"])
 
-    return df.select("id", "text").mapInArrow(run, "id long, key long, n long, tokens array<long>, places array<int>")
+    return df.select("id", "text").mapInArrow(freeing(run, _forget), "id long, key long, n long, tokens array<long>, places array<int>")
 
 
 def _set_bits(bits: np.ndarray, cell: np.ndarray) -> None:
@@ -355,7 +359,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     ok.append(DEN * both >= NUM * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    return with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return with_b.select("a", "b", "ta", "tb").mapInArrow(freeing(run, _forget), "a long, b long")
 
 
 def _linked(index: tuple[np.ndarray, ...], tokens: np.ndarray) -> np.ndarray:
@@ -426,7 +430,7 @@ def _token_sets(texts: DataFrame) -> DataFrame:
         for p, texts in _step(batches, 1):
             yield pa.RecordBatch.from_arrays([p.column(0), pa.array([token_set(t).tobytes() for t in texts], pa.binary())], names=["id", "tokens"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, tokens binary")
+    return texts.select("id", "text").mapInArrow(freeing(run, _forget), "id long, tokens binary")
 
 
 def components(links: DataFrame) -> DataFrame:
