@@ -148,21 +148,19 @@ class Model:
             done_word.append(word[~go])
             if not go.any():
                 break
-            if not go.all():
-                sym, word, piece, turn, born, kept = sym[go], word[go], piece[go], turn[go], born[go], go[first]
-                size = size[kept]
-                first = np.cumsum(size) - size
             place = np.arange(len(sym)) - np.repeat(first, size)
             before, after = self._around(turn, place, np.repeat(size, size) - 1 - place)
             free = (turn != _NONE) & (turn <= before) & (turn <= after)
             # pairs of one turn in a row overlap: every other one from the left, as far as all before are free
             same = np.zeros(len(sym), bool)
-            same[1:] = (turn[1:] == turn[:-1]) & (place[1:] > 0)
-            heads = np.flatnonzero(~same)
-            length = np.diff(np.append(heads, len(sym)))
-            nth = np.arange(len(sym)) - np.repeat(heads, length)
-            blocked = np.minimum.reduceat(np.where(free, len(sym), nth), heads)
-            take = free & (nth % 2 == 0) & (nth < np.repeat(blocked, length))
+            same[1:] = (turn[1:] == turn[:-1]) & ~new[1:]
+            take = free & ~same
+            if (run := same & free).any():
+                heads = np.flatnonzero(~same)
+                length = np.diff(np.append(heads, len(sym)))
+                nth = np.arange(len(sym)) - np.repeat(heads, length)
+                blocked = np.minimum.reduceat(np.where(free, len(sym), nth), heads)
+                take |= run & (nth % 2 == 0) & (nth < np.repeat(blocked, length))
             # of an early piece only one that none of its turn precedes
             take &= (turn < before) | ~self.early[piece]
             where = np.flatnonzero(take)
@@ -170,13 +168,11 @@ class Model:
             sym[where] = piece[where]
             # pairs change where a merged symbol stands on either side
             turn[where], piece[where] = _NONE, -1
-            stays, changed = np.ones(len(sym), bool), take
+            stays, changed = go, take
             stays[where + 1] = False
             sym, word, piece, turn, born, changed = sym[stays], word[stays], piece[stays], turn[stays], born[stays], changed[stays]
-            at = np.flatnonzero(changed)
-            at = np.unique(np.concatenate([at, at - 1]))
-            at = at[(at >= 0) & (at < len(sym) - 1)]
-            at = at[word[at] == word[at + 1]]
+            changed[:-1] |= changed[1:]
+            at = np.flatnonzero(changed[:-1] & (word[:-1] == word[1:]))
             piece[at], turn[at] = self.pairs(sym[at], sym[at + 1], np.maximum(born[at], born[at + 1]))
         sym, word = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_word))
         order = np.argsort(word, kind="stable")
