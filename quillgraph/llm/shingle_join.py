@@ -34,8 +34,9 @@ from .common import discard, freeing, materialize
 WORDS, NUM, DEN = 5, 3, 4
 CELLS, FILTER_BITS, TOKEN_BITS = 1 << 24, 1 << 24, 27
 CHUNKS, STEP = 256, 256
-#: Tokens of a block of members, or of documents, when a group is opened.
-LOAD = 1 << 19
+#: Tokens of a block of members, or of documents, when a group is opened; and the parts
+#: that rows of one group are dealt into where they meet what is known of the group.
+LOAD, SALTS = 1 << 19, 16
 MAX_WORDS_KEPT = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _HASHES: dict[bytes, int] = {}
@@ -372,6 +373,14 @@ def _linked(index: tuple[np.ndarray, ...], tokens: np.ndarray) -> np.ndarray:
     return np.flatnonzero(DEN * both >= NUM * (len(tokens) + sizes - both))
 
 
+def _of_group(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (g, id or token, ...) joined with groups (g, ...): a large group's rows go to SALTS parts."""
+    by = "id" if "id" in rows.columns else "token"
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = groups.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return salted.join(copies, ["g", "salt"], how).drop("salt")
+
+
 def open_groups(docs: DataFrame, opened: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b): for each opened (document a, group g) and block of members, the first member b that links.
 
@@ -389,7 +398,7 @@ def open_groups(docs: DataFrame, opened: DataFrame, members: DataFrame) -> DataF
 
     def dealt(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
         block = {own: F.pmod(F.xxhash64("id"), F.col(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}
-        return rows.join(blocks, "g").select("g", block["holders"].alias("holder"), block["askers"].alias("asker"), F.lit(side).alias("side"), "id")
+        return _of_group(rows, blocks).select("g", block["holders"].alias("holder"), block["askers"].alias("asker"), F.lit(side).alias("side"), "id")
 
     rows = dealt(members.select("g", "id"), 0, "holders", "askers").unionByName(dealt(opened.select("g", F.col("a").alias("id")), 1, "askers", "holders"))
     run_of = ["g", "holder", "asker"]
@@ -544,29 +553,35 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # the matrix: tokens by groups that hold them, with the sizes of their members
     known = groups.select(F.col("v").alias("gv"), F.col("c").alias("gc"))
-    member = met.join(known, met.id == known.gv, "left").select("token", "place", "id", "n", F.coalesce("gc", "id").alias("g"))
+    member = met.join(known, met.id == known.gv, "left").select("token", "place", "id", "n", F.coalesce("gc", "id").alias("g"), F.col("gc").isNotNull().alias("linked"))
     mixed = member.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select(flip)
-    member = member.select(flip, "place", "id", "n", "g").join(mixed, "flip", "left_semi").select(F.bitwise_not("flip").alias("token"), "place", "id", "n", "g")
+    member = member.select(flip, "place", "id", "n", "g", "linked").join(mixed, "flip", "left_semi").select(F.bitwise_not("flip").alias("token"), "place", "id", "n", "g", "linked")
     member = materialize(member, "member")
     discard(met)
-    size = member.groupBy("g", "id").agg(F.max("n").alias("n")).groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = member.groupBy("token", "g").agg(F.min("place").alias("gplace")).join(size, "g")
-    query = member.join(size.select("g", "size"), "g").select("token", "place", "id", "n", F.col("g").alias("own"), F.col("size").alias("own_size"))
+    # a document without a link is a group by itself, of which all is known; the others look theirs up
+    linked, alone = member.where("linked"), member.where("NOT linked")
+    one = [F.lit(1).cast("long").alias("size"), F.col("n").alias("lo"), F.col("n").alias("hi")]
+    size = linked.groupBy("g", "id").agg(F.max("n").alias("n")).groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    size = materialize(size, "sizes")
+    unions = linked.groupBy("token", "g").agg(F.min("place").alias("gplace"))
+    matrix = _of_group(unions, size).select("token", "g", "gplace", "size", "lo", "hi").unionByName(alone.select("token", "g", F.col("place").alias("gplace"), *one))
+    asks = ["token", "place", "id", "n", F.col("g").alias("own"), F.col("size").alias("own_size")]
+    query = _of_group(linked, size.select("g", "size")).select(*asks).unionByName(alone.withColumn("size", F.lit(1).cast("long")).select(*asks))
     lo, hi = F.greatest(F.col("lo"), F.ceil(F.col("n") * NUM / DEN)), F.least(F.col("hi"), F.floor(F.col("n") * DEN / NUM))
     # a group of one document: both sizes are known, so half of the needed tokens are looked
     # for in shorter prefixes, which leaves out the most frequent tokens of both
-    alone, half = F.col("size") == 1, F.ceil(needed(F.col("n"), F.col("lo")) / 2)
-    near = ~alone | early("place", "n", "gplace", "lo", half)
+    single, half = F.col("size") == 1, F.ceil(needed(F.col("n"), F.col("lo")) / 2)
+    near = ~single | early("place", "n", "gplace", "lo", half)
     opened = (
         query.join(matrix, "token")
         .where((F.col("own") != F.col("g")) & (F.struct("own_size", "own") < F.struct(F.col("size"), F.col("g"))) & (lo <= hi) & near)
         .groupBy("id", "n", "g", "size", "lo", "hi").agg(F.count("*").alias("m"))
-        .where(F.col("m") >= F.when(alone, half).otherwise(fewest(F.col("n"), lo, hi)))
+        .where(F.col("m") >= F.when(single, half).otherwise(fewest(F.col("n"), lo, hi)))
         .select(F.col("id").alias("a"), F.col("n").alias("na"), "g")
     )
     opened = materialize(opened, "opened")
-    members = materialize(member.select("g", "id", "n").distinct().join(opened.select("g").distinct(), "g", "left_semi"), "members")
-    discard(member)
+    members = materialize(_of_group(member.select("g", "id", "n").distinct(), opened.select("g").distinct(), "left_semi"), "members")
+    discard(member, size)
     if not opened.isEmpty():
         more = open_groups(docs, opened, members)
         if not more.isEmpty():
