@@ -499,6 +499,16 @@ def early(place_a: str, na: str, place_b: str, nb: str, x: Column) -> Column:
     return (F.col(place_a) < F.col(na) - out) & (F.col(place_b) < F.col(nb) - out)
 
 
+def _by_rows(docs: DataFrame, id_col: str) -> DataFrame:
+    """jaccard_components where one id stands on different texts: by ids of (id, text), named by ids again."""
+    rows = docs.select("id", F.xxhash64("id", "text").alias("row"), "text")
+    found = jaccard_components(rows.select("row", "text"), "row")
+    found = materialize(found.select(F.col("row").alias("r"), "n_shingles", F.col("component_id").alias("c")).dropDuplicates(["r"]), "rows")
+    met = materialize(rows.select("id", "row").join(found, F.col("row") == F.col("r")).select("id", "n_shingles", "c"), "named")
+    first = met.groupBy("c").agg(F.min("id").alias("component_id"))
+    return met.join(first, "c").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id.
 
@@ -507,12 +517,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Edge cases: null and empty texts have an empty set and link with nothing; shorter
     texts than five words have one shingle; equal sets (exact copies among them) are one
-    class and never expanded into pairs; repeated rows share a component; an empty
-    table gives an empty result; other columns are ignored.
+    class and never expanded into pairs; repeated rows share a component; one id on
+    different texts is a document for each text; an empty table gives an empty result;
+    other columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = materialize(describe(docs), "sets")
     facts = materialize(described.where("cell IS NULL").select("id", "n", "key"), "facts")
+    one_set = F.struct("key", "n")
+    if not facts.where("n > 0").groupBy("id").agg(F.min(one_set).alias("p"), F.max(one_set).alias("q")).where("p <> q").isEmpty():
+        discard(described, facts)
+        return _by_rows(docs, id_col)
     classes = materialize(facts.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("id")), "classes")
     sketch = docs.sparkSession.sparkContext.broadcast(word_sketch(described.where("cell IS NOT NULL").select("cell", "c")))
     discard(described)
