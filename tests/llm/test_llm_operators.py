@@ -200,6 +200,31 @@ def test_fewest_tokens_of_a_range_of_sizes(spark):
     assert [tuple(r) for r in got] == [(n, lo, hi, min(least(n, m) for m in range(lo, hi + 1))) for n, lo, hi in cases]
 
 
+def test_one_id_on_different_texts(spark):
+    word = lambda i: " ".join(f"w{i}{k}" for k in range(40))
+    rows = [(1, word(1)), (1, word(2)), (2, word(2) + " more"), (3, word(1) + " again"), (4, word(4)), (4, word(4)), (5, ""), (1, "")]
+    got = {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 36, 1), (2, 37, 1), (3, 37, 1), (4, 36, 4), (5, 0, 5), (1, 0, 1)}
+
+
+def test_groups_of_near_copies_with_shifted_starts_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(60):
+        # links of exactly 3/4 are frequent: small sets that share all but a few words at either end
+        n = rng.randint(13, 30)
+        base = [f"g{g}w{i}" for i in range(n)]
+        for _ in range(rng.randint(3, 6)):
+            w = base[rng.randint(0, 3) : n - rng.randint(0, 3)]
+            w = [f"g{g}h{rng.randint(0, 3)}" for _ in range(rng.randint(0, 2))] + w + [f"g{g}t{rng.randint(0, 3)}" for _ in range(rng.randint(0, 2))]
+            rows.append(" ".join(w))
+        rows.append(" ".join(x for x in base[::-1] for _ in range(rng.choice([1, 3]))))
+    pairs = list(enumerate(rows))
+    rng.shuffle(pairs)
+    got = {tuple(r) for r in jaccard_components(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert got == brute_components(pairs)
+
+
 def test_components_edge_cases(spark, odd, docs):
     got = jaccard_components(odd).collect()
     assert len(got) == len(ODD) and {(r.doc_id, r.n_shingles, r.component_id) for r in got} >= {(1, 0, 1), (3, 0, 3), (5, 1, 4)}
@@ -322,6 +347,21 @@ def test_many_rules_equal_a_plain_search(spark):
         assert got[i] == (best, rules[best] if best else "allow")
 
 
+def test_a_filter_fuller_than_its_blocks_loses_nothing(spark, monkeypatch):
+    from quillgraph.llm import common, url_filter as uf
+
+    monkeypatch.setattr(uf, "MAX_BLOCKS", 1)
+    rules = {f"h{i}.com/p{i}": ["allow", "block"][i % 2] for i in range(300)}
+    pages = spark.createDataFrame([(i, f"http://h{i % 400}.com/p{i % 400}/x") for i in range(800)], "page_id int, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in uf.url_filter(pages, rules_frame(spark, rules.items())).collect()}
+    rule = lambda i: f"h{i}.com/p{i}"
+    assert got == {i: (rule(i % 400), rules[rule(i % 400)]) if i % 400 < 300 else (None, "allow") for i in range(800)}
+    monkeypatch.setattr(common, "MAX_FILTER_BLOCKS", 1)
+    df = spark.range(500).withColumnRenamed("id", "doc_id")
+    clear, doubt = common.split_by_ids(df, df.where("doc_id % 5 = 0"), "doc_id")
+    assert {r.doc_id for r in doubt.collect()} >= set(range(0, 500, 5)) and clear.count() + doubt.count() == 500
+
+
 # --- personal data
 
 

@@ -177,7 +177,7 @@ def test_mixing_posteriors_equal_plain_naive_bayes(spark, docs):
     words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w]
 
     def bucket(w):
-        h = xxhash.xxh64_intdigest(w.encode(), seed=42)
+        h = xxhash.xxh64_intdigest(w[-2:].encode(), seed=xxhash.xxh64_intdigest(w[:2].encode(), seed=42))
         return (h - 2**64 if h >= 2**63 else h) % mixing.BUCKETS
 
     count = defaultdict(Counter)
@@ -198,6 +198,16 @@ def test_mixing_posteriors_equal_plain_naive_bayes(spark, docs):
     assert queries()["op6_mixing"](spark, SF).count() == len(texts)
 
 
+def test_mixing_meets_targets_by_true_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    weights = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+    # learned from half of the documents, judged by all
+    labels = docs.where("lang IS NOT NULL AND doc_id % 2 = 0").select("doc_id", F.col("lang").alias("domain"))
+    got = mixing.mix(docs, labels, weights).groupBy("lang").agg(F.sum(F.col("mix_tokens") * F.col("mix_rate")).alias("t")).collect()
+    whole = sum(r.t for r in got)
+    assert all(abs(r.t / whole - weights[r.lang]) < 0.01 for r in got if r.lang)
+
+
 def test_mixing_refuses_clashing_names_and_empty_tables(spark, docs):
     labels = docs.where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("domain"))
     with pytest.raises(ValueError, match="mix_rate"):
