@@ -378,7 +378,8 @@ def _of_group(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFra
     by = "id" if "id" in rows.columns else "token"
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     copies = groups.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return salted.join(copies, ["g", "salt"], how).drop("salt")
+    # never broadcast: copies compress so well that their size in a shuffle tells little of that in memory
+    return salted.join(copies.hint("merge"), ["g", "salt"], how).drop("salt")
 
 
 def open_groups(docs: DataFrame, opened: DataFrame, members: DataFrame) -> DataFrame:
