@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..storage import appended, discard, materialize
 
-__all__ = ["appended", "bloom", "bloom_block", "bloom_mask", "crc_bucket", "discard", "fraction_filter", "freeing", "materialize", "split_by_ids", "table"]
+__all__ = ["appended", "bloom", "bloom_block", "bloom_mask", "crc_bucket", "discard", "fraction_filter", "freeing", "materialize", "small_batches", "split_by_ids", "table"]
 
 #: Bits of an id filter per id, and the most blocks of 64 bits (a broadcast of some 8 MB).
 #: With more ids the blocks fill up and let more rows through; exact joins follow.
 FILTER_BITS_PER_ID, MAX_FILTER_BLOCKS = 16, 1 << 18
+#: Bytes of a batch of rows on its way to a worker, which the JVM and the worker both hold.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,23 +35,45 @@ def fraction_filter(fraction: float, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(scale)) < F.lit(max(1, round(fraction * scale)))
 
 
-def freeing(run: Callable[[Iterator], Iterator], forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+def small_batches(spark: SparkSession) -> None:
+    """Batches of this session's rows to workers go by BATCH_BYTES from now on, not by ten thousand rows of any length.
+
+    It must hold when a result is written, which is up to the caller, so it is not set back.
+    """
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    now = spark.conf.get(_BATCH, "64m").lower().removesuffix("b")
+    if int(now.rstrip("kmg")) * unit.get(now[-1:], 1) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def freeing(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
     """run, for mapInArrow, with what it keeps in its worker given back at the end of a task.
 
-    Workers serve one stage after another; tables that they kept would add up.  forget is a
-    function of a module, since only those reach the worker's own tables.
+    Workers serve one stage after another and wait through those of the JVM; tables that they
+    kept, and freed memory that their allocators hold, would add up.  forget is a function of
+    a module, since only those reach the worker's own tables.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            forget()
-            pa.default_memory_pool().release_unused()
+            if forget is not None:
+                forget()
+            _give_back()
 
     return task
 
 
+def _give_back() -> None:
+    """Return freed memory of Arrow and, where it is the GNU one, of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def bloom_block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks))
 

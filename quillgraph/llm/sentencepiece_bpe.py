@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freeing
+from .common import freeing, small_batches
 
 MARK = "▁"
 _UNIT = re.compile(" +[^ ]*|[^ ]+")
 #: Units kept per worker, characters of all kept units, texts per step, and characters of a batch of new units.
-MAX_UNITS, MAX_KEPT, STEP_TEXTS, BATCH = 400_000, 8_000_000, 256, 200_000
+MAX_UNITS, MAX_KEPT, STEP_TEXTS, BATCH = 150_000, 8_000_000, 256, 200_000
 _NONE = np.int64(1) << 60
 _RANK_BITS = 24
 
@@ -299,6 +299,7 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     repeated rows stay; an empty table gives an empty result; other columns are ignored;
     very long units take the same rounds.
     """
+    small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 

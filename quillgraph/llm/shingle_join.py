@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, freeing, materialize
+from .common import discard, freeing, materialize, small_batches
 
 #: Words in a shingle, similarity as a ratio of whole numbers, cells of the word
 #: sketch (one byte each: the size of its broadcast), bits of the id filter, and the
@@ -266,7 +266,7 @@ def twice_table(raw: DataFrame, tables: list) -> np.ndarray:
                 once |= o
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([twice.tobytes()], pa.binary())], names=["chunk", "data"])
 
-    sent = raw.select("tokens").mapInArrow(tally, "chunk int, once binary, twice binary")
+    sent = raw.select("tokens").mapInArrow(freeing(tally), "chunk int, once binary, twice binary")
     out = np.zeros((CHUNKS, width), np.uint8)
     for row in sent.groupBy("chunk").applyInArrow(join, "chunk int, data binary").toLocalIterator():
         out[row.chunk] = np.frombuffer(bytes(row.data), np.uint8)
@@ -298,7 +298,7 @@ def met_twice(raw: DataFrame) -> tuple[DataFrame, list]:
             kept = [pa.ListArray.from_arrays(ends, pa.array(x[hit])) for x in (token, b.column(4).flatten().to_numpy())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *kept], names=["id", "key", "n", "tokens", "places"]).filter(pa.array(left > 0))
 
-    return raw.select("id", "key", "n", "tokens", "places").mapInArrow(run, "id long, key long, n long, tokens array<long>, places array<int>"), tables
+    return raw.select("id", "key", "n", "tokens", "places").mapInArrow(freeing(run), "id long, key long, n long, tokens array<long>, places array<int>"), tables
 
 
 def texts_of(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
@@ -331,7 +331,7 @@ def texts_of(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["id", "text"]).filter(pa.array(hit.astype(bool)))
 
     src = df.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("b"))
-    return src.mapInArrow(run, "id long, text string"), shared
+    return src.mapInArrow(freeing(run), "id long, text string"), shared
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -427,7 +427,7 @@ def open_groups(docs: DataFrame, opened: DataFrame, members: DataFrame) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     loaded = rows.join(sets, "id").select(*run_of, "side", "id", "tokens")
-    found = loaded.repartition(*run_of).sortWithinPartitions(*run_of, "side", "id").mapInArrow(run, "a long, b long")
+    found = loaded.repartition(*run_of).sortWithinPartitions(*run_of, "side", "id").mapInArrow(freeing(run), "a long, b long")
     links = materialize(found, "links")
     discard(sets, blocks)
     return links
@@ -522,6 +522,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     different texts is a document for each text; an empty table gives an empty result;
     other columns are ignored.
     """
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = materialize(describe(docs), "sets")
     facts = materialize(described.where("cell IS NULL").select("id", "n", "key"), "facts")

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,3 +409,25 @@ def test_pipeline_stages(spark):
     mixed = cp.mixing_stage(spark, near, sf)
     assert {r.doc_id for r in mixed.select("doc_id").collect()} == set(groups) and mixed.columns == docs.columns
     assert cp.tokens_stage(spark, near, sf).count() == len(groups)
+
+
+def test_batches_to_workers_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        docs = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 100000)").alias("text"))
+        got = encode_decode(docs, model_path())
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"])
+
+        seen = docs.mapInArrow(sizes, "size long, n long").collect()
+        assert sum(r.n for r in seen) == 60 and max(r["size"] for r in seen) < 6_000_000
+        assert got.where("size(ids) > 1").count() == 60
+        spark.conf.set(name, "1m")
+        encode_decode(docs, model_path())
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
